@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm import source_mix
 from lexmill.llm.common import table
 
 
@@ -17,8 +18,23 @@ def op1_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_bpe_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.bpe_forced import encode
+
+    made = encode(table(spark, sf_dir, "documents"), "word_bpe_49k.json", outputs=("n_tokens", "packed_ids", "decoded"))
+    return made.select("doc_id", "n_tokens", F.sha2("packed_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.source_mix import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_vptree": op1_simhash_vptree,
+    "op2_bpe_forced": op2_bpe_forced,
+    "op3_source_mix": op3_source_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_source_mix": source_mix.ORACLE_SQL}
