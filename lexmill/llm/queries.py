@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import source_mix
-from lexmill.llm.common import table
+from lexmill.llm.common import remainder_of_id, table
 
 
 def op1_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +31,19 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.language_mixture import identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder_of_id("doc_id", 4) == 2).alias("held_out"))
+    model = train(docs.where("NOT held_out"))
+    return identify(docs, model, ("doc_id", "held_out"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_vptree": op1_simhash_vptree,
     "op2_bpe_forced": op2_bpe_forced,
     "op3_source_mix": op3_source_mix,
+    "op4_language_mixture": op4_language_mixture,
 }
 
 ORACLES: dict[str, str] = {"op3_source_mix": source_mix.ORACLE_SQL}
