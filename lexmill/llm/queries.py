@@ -39,11 +39,19 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, ("doc_id", "held_out"))
 
 
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.maxent_lm import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder_of_id("doc_id", 5) == 1).alias("held_out"))
+    return score(docs, train(docs.where("NOT held_out")), keep=("held_out",))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_vptree": op1_simhash_vptree,
     "op2_bpe_forced": op2_bpe_forced,
     "op3_source_mix": op3_source_mix,
     "op4_language_mixture": op4_language_mixture,
+    "op5_maxent_lm": op5_maxent_lm,
 }
 
 ORACLES: dict[str, str] = {"op3_source_mix": source_mix.ORACLE_SQL}
