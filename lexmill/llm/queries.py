@@ -46,12 +46,19 @@ def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs.where("NOT held_out")), keep=("held_out",))
 
 
+def op6_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.iblt import fingerprint_versions
+
+    return fingerprint_versions(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_vptree": op1_simhash_vptree,
     "op2_bpe_forced": op2_bpe_forced,
     "op3_source_mix": op3_source_mix,
     "op4_language_mixture": op4_language_mixture,
     "op5_maxent_lm": op5_maxent_lm,
+    "op6_iblt": op6_iblt,
 }
 
 ORACLES: dict[str, str] = {"op3_source_mix": source_mix.ORACLE_SQL}
