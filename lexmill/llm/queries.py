@@ -52,6 +52,12 @@ def op6_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_versions(table(spark, sf_dir, "documents"))
 
 
+def op9_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.pivot_index import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_vptree": op1_simhash_vptree,
     "op2_bpe_forced": op2_bpe_forced,
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_mixture": op4_language_mixture,
     "op5_maxent_lm": op5_maxent_lm,
     "op6_iblt": op6_iblt,
+    "op9_pivot_index": op9_pivot_index,
 }
 
 ORACLES: dict[str, str] = {"op3_source_mix": source_mix.ORACLE_SQL}
