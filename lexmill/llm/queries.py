@@ -67,6 +67,18 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(rows.unionByName(extra)))
 
 
+def op7_token_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.token_trie import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.page_diff import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_vptree": op1_simhash_vptree,
     "op2_bpe_forced": op2_bpe_forced,
@@ -76,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_iblt": op6_iblt,
     "op9_pivot_index": op9_pivot_index,
     "op10_chat_parts": op10_chat_parts,
+    "op7_token_trie": op7_token_trie,
+    "op8_page_diff": op8_page_diff,
 }
 
 #: Vectors of one label by brute force, and the components of their links.
