@@ -47,7 +47,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each as often as it takes them; those without words go."""
     copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("of"), "copies").distinct()
     same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of"))
-    repeated = docs.where(word_count(F.col("text")) > 0).join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1), copies["copies"])))
+    repeated = docs.where(word_count(F.col("text")) > 0).join(copies, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies["copies"])))
     return repeated.select(*(docs[c] for c in docs.columns))
 
 
