@@ -1 +1 @@
-
+"""Column functions: text, statistics, scoring."""
