@@ -31,7 +31,9 @@ def digests(text: Column) -> Column:
     head = F.regexp_extract_all(F.substring(text, 1, HEAD), F.lit(r"[^\n]{1,%d}" % HEAD_PIECE), F.lit(0))
     rest = F.regexp_extract_all(F.substring(text, HEAD + 1, 2**31 - 1 - HEAD), F.lit(r"[^\n]{1,%d}" % PIECE), F.lit(0))
     hashes = F.array_sort(F.transform(F.concat(head, rest), lambda p: F.xxhash64(p)))
-    return F.transform(hashes, lambda h, i: F.xxhash64(h, i - F.array_position(hashes, h)))
+    # the outer transform only names the sorted array, so that it is made once and not for each of its elements
+    numbered = F.transform(F.array(hashes), lambda all: F.transform(all, lambda h, i: F.xxhash64(h, i - F.array_position(all, h))))
+    return F.element_at(numbered, 1)
 
 
 def place(digest: Column, part: int, width: Column) -> Column:
@@ -45,13 +47,23 @@ def check(digest: Column) -> Column:
 
 def small_sketch(found: Column, width: int = PRINTED) -> Column:
     """All cells of a sketch as array<struct<n, key, chk>>, cell by cell."""
-    empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("chk"))
+    size = F.lit(width).cast("long")
+    told = F.transform(found, lambda d: F.struct(d.alias("d"), check(d).alias("c"), *(place(d, part, size).alias(f"p{part}") for part in range(3))))
 
-    def cell(at: int) -> Column:
-        mine = F.filter(found, lambda d: place(d, at // width, F.lit(width).cast("long")) == at)
-        return F.aggregate(mine, empty, lambda a, d: F.struct((a["n"] + 1).alias("n"), a["key"].bitwiseXOR(d).alias("key"), a["chk"].bitwiseXOR(check(d)).alias("chk")))
+    def xor(rows: Column, name: str) -> Column:
+        return F.aggregate(rows, F.lit(0).cast("long"), lambda a, r: a.bitwiseXOR(r[name]))
 
-    return F.array(*(cell(at) for at in range(3 * width)))
+    def cell(rows: Column) -> Column:
+        return F.struct(F.size(rows).cast("long").alias("n"), xor(rows, "d").alias("key"), xor(rows, "c").alias("chk"))
+
+    # the outer transforms only name the array of places and the rows of a cell, so that each is made once
+    def rows_of(all: Column) -> Column:
+        return F.array(*(in_cell(all, at) for at in range(3 * width)))
+
+    def in_cell(all: Column, at: int) -> Column:
+        return F.filter(all, lambda r: r[f"p{at // width}"] == at)
+
+    return F.element_at(F.transform(F.array(told), lambda all: F.transform(rows_of(all), cell)), 1)
 
 
 def printed(sketch: Column) -> Column:
@@ -132,7 +144,9 @@ def compare(pairs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(run, place, doc_id, text, next_text): each row with the text that follows in descending order of the id.
+    """(run, place, doc_id, text, own, next_text, follow): each row with the text that follows in descending order of the id.
+
+    ``own`` and ``follow`` are the digests of both texts.
 
     After the last row comes the first. Null texts are empty; null ids come last; rows with equal ids are ordered by text. Rows
     are cut into runs of neighbouring ids by approximate percentiles, a bounded number, and each run gets a copy of the
@@ -152,14 +166,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # at most RUNS runs: their greatest ids, then the rows that have them
     tops = rows.groupBy("run").agg(F.max("doc_id").alias("top"))
     heads = rows.join(F.broadcast(tops.select(F.col("run").alias("r"), "top")), (F.col("run") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = cut_lineage(heads.groupBy("run").agg(F.max("text").alias("text")))
+    heads = cut_lineage(heads.groupBy("run").agg(F.max("text").alias("text")).withColumn("own", digests(F.col("text"))))
     up = Window.orderBy("run")
     target = F.coalesce(F.lead("run").over(up), F.first("run").over(up))
-    guests = heads.select(target.alias("run"), F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "text", F.lit(1).alias("guest"))
+    guests = heads.select(target.alias("run"), F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "text", "own", F.lit(1).alias("guest"))
     order = Window.partitionBy("run").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.desc("text"))
-    both = rows.withColumn("guest", F.lit(0)).unionByName(guests)
-    told = both.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
-    return told.where("guest = 0").select("run", "place", "doc_id", "text", "next_text")
+    both = rows.withColumn("own", digests(F.col("text"))).withColumn("guest", F.lit(0)).unionByName(guests)
+    told = both.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order)).withColumn("follow", F.lead("own").over(order))
+    return told.where("guest = 0").select("run", "place", "doc_id", "text", "own", "next_text", "follow")
 
 
 def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +186,7 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) AS int))"), F.expr("left(next_text, cast(floor(length(text) / 2) AS int))"))
     told = with_next(docs, id_col, text_col).select(
         F.shiftleft(F.col("run").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("row"), "doc_id", F.length("text").cast("long").alias("n_chars"),
-        edited.alias("edited"), digests(F.col("text")).alias("own"), digests(F.col("next_text")).alias("follow"),
+        edited.alias("edited"), "own", "follow",
     )
     told = told.withColumn("changed", digests(F.col("edited"))).select(
         "row", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "changed", "follow",
