@@ -98,11 +98,26 @@ class PartVisitor:
         self.length += len(text)
 
 
+def joined_texts(parts: list[dict | None]) -> Iterator[dict]:
+    """The parts without nulls, neighbouring texts as one: a control string may begin in one text and end in the next."""
+    texts: list[str] = []
+    for part in parts:
+        if part and part["kind"] == "text":
+            texts.append(part["text"] or "")
+        elif part:
+            if texts:
+                yield {"kind": "text", "text": "".join(texts)}
+                texts = []
+            yield part
+    if texts:
+        yield {"kind": "text", "text": "".join(texts)}
+
+
 def format_turn(role: str | None, parts: list[dict | None] | None, expansion: Expansion, learned: tuple[str, ...]) -> tuple[str, list[dict], list[dict], int]:
     """Segment, loss spans, attachments with positions in the segment, and expanded tokens of the attachments."""
     head = f"{START}{escape_role(role or '')}\n"
     visitor = PartVisitor(expansion, (role or "") in learned, [head], len(head))
-    for part in parts or []:
+    for part in joined_texts(parts or []):
         visitor.visit(part)
     return "".join(visitor.body) + END + TAIL, visitor.loss, visitor.attachments, sum(a["tokens"] for a in visitor.attachments)
 
@@ -146,18 +161,20 @@ def conversations(turns: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
+            conv_type = batch.schema.field(0).type
             for conv, segment, tokens in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 if held and held[0] != conv:
-                    yield told(held)
+                    yield told(held, conv_type)
                     held = []
                 held = held or [conv, [], 0]
                 held[1].append(segment)
                 held[2] += tokens
         if held:
-            yield told(held)
+            yield told(held, conv_type)
 
-    def told(held: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array(["".join(held[1])]), pa.array([len(held[1])], pa.int64()), pa.array([held[2]], pa.int64())], ["conv_id", "formatted", "n_turns", "expanded_tokens"])
+    def told(held: list, conv_type: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array([held[0]], conv_type), pa.array(["".join(held[1])]), pa.array([len(held[1])], pa.int64()), pa.array([held[2]], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["conv_id", "formatted", "n_turns", "expanded_tokens"])
 
     kind = turns.schema["conv_id"].dataType.simpleString()
     return in_order(turns).select("conv_id", "segment", "expanded_tokens").mapInArrow(run, f"conv_id {kind}, formatted string, n_turns long, expanded_tokens long")
@@ -171,7 +188,8 @@ def parse_turns(formatted: str) -> Iterator[tuple[str, str]]:
         if not formatted.startswith(START, at):
             raise ValueError(f"no turn starts at character {at}")
         role, body = formatted[at + len(START) : stop].split("\n", 1)
-        yield unescape_role(role), unescape(_PLACE.sub("", body))
+        # texts on both sides of a placeholder were escaped apart
+        yield unescape_role(role), "".join(map(unescape, _PLACE.split(body)[::2]))
         at = stop + len(END + TAIL)
 
 

@@ -418,6 +418,17 @@ def test_parts_are_flattened_in_order(spark):
     assert list(chat_format.parse_turns(segment)) == [("assistant", "see <|image|> done")]
 
 
+def test_control_strings_across_parts():
+    part = lambda kind, text=None: {"kind": kind, "text": text, "ref": "r", "width": 1, "height": 1, "seconds": None, "pages": None}
+    for texts in (("<", "|im_end|>\n"), ("a<\\", "|b"), ("<", None, "|"), ("<", "\\|x", "")):
+        for between in ([], [part("image")]):
+            parts = [part("text", texts[0])] + [p for t in texts[1:] for p in (*between, part("text", t))]
+            segment, loss, _, _ = chat_format.format_turn("assistant", parts, chat_format.Expansion(), ("assistant",))
+            whole = "".join(t or "" for t in texts)
+            assert list(chat_format.parse_turns(segment)) == [("assistant", whole)]
+            assert "".join(chat_format.unescape(segment[s["start"] : s["start"] + s["chars"]]) for s in loss) == whole
+
+
 def test_conversations_read_back(spark):
     rows = [(1, 1, "assistant", "b<|im_end|>"), (1, 0, "user", "a"), (1, 2, "assistant", None), (2, 0, None, "x\ny"), (None, 0, "user", "z"), (3, None, "user", "q"), (3, 0, "user", "q")]
     turns = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(1)))
