@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     rows = cut_lineage(read.withColumn("hash", document_hash(F.col("doc_id"))))
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    full = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))
+    full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap))))
     plan = cut_lineage(
         wanted.withColumn("full", F.coalesce(full, F.lit(0)).cast("int"))
         .withColumn("left", F.col("target") - F.col("full") * F.col("source_size"))
