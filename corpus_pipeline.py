@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.bpe_forced import encode
 from lexmill.llm.language_mixture import UNDETERMINED, identify, train
-from lexmill.llm.simhash_vptree import near_duplicates
+from lexmill.llm.near_copies import near_copies
 from lexmill.llm.source_mix import mix, word_count
 
 #: A document whose best language has a smaller share than this is rejected: it is no text in a language that was learned.
@@ -35,11 +35,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of SimHash near-duplicates; of repeated rows of that id, one.
+    """The document with the smallest id of each group of texts alike to 0.8 in shingles of five words; of repeated rows of that id, one.
 
     Rows without an id cannot be told apart and go.
     """
-    groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    groups = near_copies(docs, width=5, least=0.8).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
