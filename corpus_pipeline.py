@@ -35,12 +35,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of texts alike to 0.8 in shingles of five words; of repeated rows of that id, one.
-
-    Rows without an id cannot be told apart and go.
-    """
-    groups = near_copies(docs, width=5, least=0.8).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group of texts alike to 0.8 in shingles of five words: the smallest by id, null ids last, then digest of the text."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("of"))
+    firsts = near_copies(docs, width=5, least=0.8).groupBy("component").agg(F.min(order).alias("first")).select("first.id", "first.of")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("of"))
+    rows = docs.join(firsts, same, "left_semi").withColumn("__of", F.xxhash64("text"))
+    return rows.dropDuplicates(["doc_id", "__of"]).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,9 +200,10 @@ def linked(pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, tex
 
 
 def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest long, component_id): one row for each row of ``docs``; ``digest`` is xxhash64 of its text.
+    """(doc_id, digest long, component long, component_id): one row for each row of ``docs``; ``digest`` is xxhash64 of its text.
 
-    component_id is the smallest doc_id of the texts that links join. Texts without words are alike.
+    ``component`` numbers the texts that links join, and component_id is their smallest doc_id, null if none has one. Texts
+    without words are alike.
     """
     marked = cut_lineage(fingerprints(docs, width, id_col, text_col))
     words = [f"w{w}" for w in range(WORDS)]
@@ -218,4 +219,4 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
             label = components(links.unionByName(linked(more, docs, marked, width, text_col, least)))
     rooted = marked.select("doc_id", "digest", "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(smallest, "root").select("doc_id", "digest", "component_id")
+    return rooted.join(smallest, "root").select("doc_id", "digest", F.col("root").alias("component"), "component_id")

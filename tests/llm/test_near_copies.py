@@ -55,3 +55,13 @@ def test_crowds_lose_no_link(spark, monkeypatch):
     assert all(want[i] == want[c] for i, c in few.items())
     assert few == want
     assert near_copies.near_copies(docs.where(F.lit(False))).count() == 0
+
+
+def test_one_row_of_each_group_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(60)) for c in "abcd")
+    rows = [(1, one), (1, two), (1, two), (5, one), (None, three), (None, three), (None, four), (9, four)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, one), (1, two), (None, three), (9, four)], key=str)
