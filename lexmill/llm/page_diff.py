@@ -33,6 +33,10 @@ NAMES = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar topbar widget widgets complementary contentinfo search".split()
 )
 HEADINGS = frozenset(("header", "masthead", "banner"))
+#: Names of elements whose articles, if any, are never the page's own.
+OTHERS = re.compile(r"comment|disqus|repl(?:y|ies)|respond|related|newsletter|cookie|consent|promo|sponsor", re.I)
+#: Elements that a head can hold; any other ends it.
+IN_HEAD = frozenset("title meta link script style base noscript template head".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -40,6 +44,8 @@ _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 #: What the markup says of a line.
 OPEN, KEEP, DROP = 0, 1, 2
+#: Until the end of the page is read: lines of an article in an element that is dropped for its class or id alone.
+DOUBTFUL = 3
 
 
 def named_aside(attributes: str, inside: bool = False) -> bool:
@@ -62,6 +68,8 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     held: list[str] = []
     stack: list[tuple[str, int, bool]] = []
     state, inside, at, silent = OPEN, False, 0, ""
+    by_name = False  # dropped for the name of an element alone
+    head = False
 
     def flush() -> None:
         if held:
@@ -113,6 +121,15 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         if name in ("script", "style", "textarea", "title", "noscript", "iframe", "template"):
             if not found[3].rstrip().endswith("/"):
                 silent = name
+        if head and name not in IN_HEAD:
+            flush()
+            head = False
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "head":
+                    _, state, inside = stack[k]
+                    del stack[k:]
+                    break
+        head = head or name == "head"
         if name in VOID or found[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and any(s[0] == name for s in stack[-6:]):
@@ -125,14 +142,23 @@ def lines_of(html: str) -> list[tuple[str, int]]:
                 if stack[k][0] in BLOCKS:
                     break
         stack.append((name, state, inside))
-        if name in SILENT or named_aside(found[3], inside) and name not in ("html", "body") and (name not in MAIN or inside):
+        named, before = False, state
+        if name in SILENT or (named := named_aside(found[3], inside) and name not in ("html", "body") and (name not in MAIN or inside)):
             state = DROP
+            if before != DROP:
+                by_name = named and before == OPEN and not OTHERS.search(found[3]) and not _HIDDEN.search(found[3]) and name not in SILENT and name not in ASIDE
         elif name in ASIDE and not (name == "header" and inside):
             state = DROP
-        elif name in MAIN and state != DROP:
+            if before != DROP:
+                by_name = False
+        elif name in MAIN and state == DROP and by_name:
+            state, inside = DOUBTFUL, True
+        elif name in MAIN and state not in (DROP, DOUBTFUL):
             state, inside = KEEP, True
     flush()
-    return out
+    # such an article is the page's own if there is no other
+    doubt = DROP if any(s == KEEP for _, s in out) else KEEP
+    return [(text, doubt if s == DOUBTFUL else s) for text, s in out]
 
 
 def shared_lines(mine: list[str], other: list[str]) -> set[int]:
@@ -176,7 +202,7 @@ def article(lines: list[tuple[str, int]], neighbour: list[tuple[str, int]] | Non
     if open_lines and neighbour:
         shared = shared_lines([text for text, _ in lines], [text for text, state in neighbour])
         gone = shared.intersection(open_lines)
-        if len(gone) == len(lines):
+        if neighbour == lines or len(gone) == len(open_lines):
             # a copy of its neighbour has no template to tell
             gone = set()
     has_main = any(state == KEEP for _, state in lines)
