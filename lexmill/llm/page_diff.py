@@ -197,17 +197,23 @@ def shared_lines(mine: list[str], other: list[str]) -> set[int]:
 
 def article(lines: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
     """The lines that stay, joined by a space."""
+    has_main = any(state == KEEP for _, state in lines)
+    if neighbour is None or neighbour == lines:
+        # a copy of its neighbour has no template to tell; lines beside an article element are then not the article
+        return " ".join(text for text, state in lines if state == KEEP or state == OPEN and not has_main)
     open_lines = [i for i, (_, state) in enumerate(lines) if state == OPEN]
     gone: set[int] = set()
-    if open_lines and neighbour:
-        shared = shared_lines([text for text, _ in lines], [text for text, state in neighbour])
-        gone = shared.intersection(open_lines)
-        if neighbour == lines or len(gone) == len(open_lines):
-            # a copy of its neighbour has no template to tell
+    if open_lines:
+        gone = shared_lines([text for text, _ in lines], [text for text, _ in neighbour]).intersection(open_lines)
+        if len(gone) == len(open_lines) and not has_main:
+            # nothing would be left of the page
             gone = set()
-    has_main = any(state == KEEP for _, state in lines)
-    # beside an article element, lines outside of it are not the article
-    return " ".join(text for i, (text, state) in enumerate(lines) if state == KEEP or state == OPEN and i not in gone and not has_main)
+    return " ".join(text for i, (text, state) in enumerate(lines) if state == KEEP or state == OPEN and i not in gone)
+
+
+def common_path(a: str, b: str) -> int:
+    """How many leading characters two paths share."""
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -220,9 +226,9 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text): one row for each row of ``pages``; a null page is empty, a page without article gives "".
 
-    One shuffle orders the pages by host, path and id into ranges, and a task holds two pages at a time. The neighbour is
-    the page before, or the page after for the first of a host in its range; a page alone in its host has none, and then
-    the markup decides. Repeated pages and ids are kept as they are; a null URL counts as a host of its own.
+    One shuffle orders the pages by host, path and id into ranges, and a task holds three pages at a time. The neighbour is
+    the different page before or after it on its host, in its range, whose path shares the longer start; a page without one
+    is decided by the markup. Repeated pages and ids are kept as they are; a null URL counts as a host of its own.
     """
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
@@ -230,31 +236,42 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ids = ", ".join(f"{c} {k}" for c, k in rows.dtypes[:2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # (host, lines) of the last page
-        waiting = None  # the first page of a host, until its neighbour is read
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids, urls, texts = [], [], []
+        before = None  # (path, lines) of the last different page of the host
+        held: list[tuple] = []  # (id, url, path) of equal pages in a row, until the page after them is read
+        held_host, held_lines = None, None
+        ids, urls, texts, kind = [], [], [], None
+
+        def tell(after: tuple | None) -> None:
+            made: dict[bool, str] = {}
+            for page_id, url, path in held:
+                later = before is None or after is not None and common_path(path, after[0]) > common_path(path, before[0])
+                if later not in made:
+                    side = after if later else before
+                    made[later] = article(held_lines, side and side[1])
+                ids.append(page_id), urls.append(url), texts.append(made[later])
 
-                def tell(page: tuple, lines: list, neighbour: list | None, into=(ids, urls, texts)) -> None:
-                    for values, value in zip(into, (*page, article(lines, neighbour))):
-                        values.append(value)
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            ids.clear(), urls.clear(), texts.clear()
+            return out
 
-                for page_id, url, html, host in zip(*(batch.column(c).to_pylist() for c in range(4))):
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                for page_id, url, html, host, path in zip(*(part.column(c).to_pylist() for c in range(5))):
                     lines = lines_of(html)
-                    if waiting:
-                        tell(*waiting[:2], lines if waiting[2] == host else None)
-                        waiting = None
-                    if before and before[0] == host:
-                        tell((page_id, url), lines, before[1])
-                    else:
-                        waiting = ((page_id, url), lines, host)
-                    before = (host, lines)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-                kind = batch.schema.field(0).type
-        if waiting:
-            page, lines, _ = waiting
-            yield pa.RecordBatch.from_arrays([pa.array([page[0]], kind), pa.array([page[1]], pa.string()), pa.array([article(lines, None)], pa.string())], ["page_id", "url", "text"])
+                    if held and not (host == held_host and lines == held_lines):
+                        same = host == held_host
+                        tell((path, lines) if same else None)
+                        before = (held[-1][2], held_lines) if same else None
+                        held = []
+                    held.append((page_id, url, path))
+                    held_host, held_lines = host, lines
+                if ids:
+                    yield told()
+        if held:
+            tell(None)
+            yield told()
 
-    return ranged.select("page_id", "url", "html", "host").mapInArrow(run, f"{ids}, text string")
+    return ranged.select("page_id", "url", "html", "host", "path").mapInArrow(run, f"{ids}, text string")

@@ -7,6 +7,21 @@ def text_of(page, neighbour=None):
     return page_diff.article(page_diff.lines_of(page), neighbour and page_diff.lines_of(neighbour))
 
 
+def test_alignment_decides_beside_articles():
+    page = "<div>Site</div><p>{}</p><article>{}</article><div>End</div>"
+    assert text_of(page.format("story one", "teaser"), page.format("story two", "teaser")) == "story one teaser"
+
+
+def test_nearer_of_both_neighbours(spark):
+    page = "<div>{}</div><p>{}</p>"
+    rows = [(1, "http://h.org/a/1", page.format("A", "one")), (2, "http://h.org/b/1", page.format("B", "two")), (3, "http://h.org/b/2", page.format("B", "three"))]
+    found = page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    ranged = {r.page_id: r.text for r in found.collect()}
+    lines = [page_diff.lines_of(h) for _, _, h in rows]
+    assert page_diff.common_path("/b/1", "/b/2") > page_diff.common_path("/b/1", "/a/1")
+    assert len(ranged) == 3 and page_diff.article(lines[1], lines[2]) == "two"
+
+
 def test_copies_keep_their_text():
     page = "<nav>Menu</nav><p>all the text</p>"
     assert text_of(page, page) == "all the text"
