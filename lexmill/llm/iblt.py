@@ -1,12 +1,13 @@
 """Document fingerprints as invertible Bloom lookup sketches, with Spark functions only.
 
-A text is cut into paragraph pieces, and each piece into a digest. A sketch has three parts of ``width`` cells; a digest falls
-into one cell of each part, and a cell holds how many digests fell into it, their exclusive or, and that of their checks.
-Subtracting the sketches of two versions cancels what they share. Peeling recovers the rest: a cell with a single digest
-gives it away, which is then taken out of its other cells, and so on. Where cells are left over, the versions are
-compared again with a sketch of twice the width.
-
-The number of recovered digests gives the likeness: shared pieces over all pieces, repeated ones counted.
+A text is cut into paragraphs, and each distinct paragraph into a digest. A sketch has three parts of ``width`` cells; a
+digest falls into one cell of each part, and a cell holds how many digests fell into it, their exclusive or, and that of
+their checks. Subtracting the sketches of two versions cancels what they share. Peeling recovers the rest: a cell with a
+single digest gives it away, which is then taken out of its other cells, and so on.
+
+The fingerprint of a text is its sketch of ``PRINTED`` cells a part, and the first comparison subtracts two fingerprints.
+Where cells are left over, the versions are compared again with larger sketches, until all have been peeled. The number of
+recovered digests gives the likeness: shared paragraphs over all paragraphs of both, repeated ones counted once.
 """
 
 from __future__ import annotations
@@ -16,29 +17,36 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut_lineage
 
-#: A piece ends at a line end, and after so many characters: fewer in the first characters of a text.
-HEAD, HEAD_PIECE, PIECE = 256, 16, 256
-#: Cells in a part of the printed fingerprint; rounds of peeling; attempts before digests are compared directly.
-PRINTED, ROUNDS, ATTEMPTS = 4, 15, 6
-#: Documents in a run of neighbouring ids, and the largest number of runs.
-RUN, RUNS = 500, 4096
-#: Comparisons in a task while peeling.
-PAIRS = 8000
+#: A paragraph is a line; one of more characters than LONG is cut after every word whose hash is 0 modulo EVERY.
+LONG, EVERY = 400, 32
+#: Cells in a part of a fingerprint; rounds of peeling; sketches in a row that may fail, each at least twice as large as the last.
+PRINTED, ROUNDS, ATTEMPTS = 8, 15, 24
+#: Documents in a run of neighbouring ids, the largest number of runs, and ids of the sample for each bound.
+RUN, RUNS, SAMPLE = 500, 65536, 8
+#: Digests in a task while peeling.
+DIGESTS = 250_000
 
 
 def digests(text: Column) -> Column:
-    """Digests of the pieces of a text; a piece's second occurrence has another digest than its first."""
-    head = F.regexp_extract_all(F.substring(text, 1, HEAD), F.lit(r"[^\n]{1,%d}" % HEAD_PIECE), F.lit(0))
-    rest = F.regexp_extract_all(F.substring(text, HEAD + 1, 2**31 - 1 - HEAD), F.lit(r"[^\n]{1,%d}" % PIECE), F.lit(0))
-    hashes = F.array_sort(F.transform(F.concat(head, rest), lambda p: F.xxhash64(p)))
-    # the outer transform only names the sorted array, so that it is made once and not for each of its elements
-    numbered = F.transform(F.array(hashes), lambda all: F.transform(all, lambda h, i: F.xxhash64(h, i - F.array_position(all, h))))
-    return F.element_at(numbered, 1)
+    """Digests of the distinct paragraphs of a text, in no order that means anything; empty lines are none."""
+    lines = F.filter(F.split(text, "\n"), lambda line: line != "")
+
+    def cut(line: Column) -> Column:
+        def pieces(words: Column) -> Column:
+            ends = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (F.pmod(F.xxhash64(F.element_at(words, i)), F.lit(EVERY)) == 0) | (i == F.size(words)))
+            spans = F.arrays_zip(ends.alias("end"), F.concat(F.array(F.lit(0)), ends).alias("start"))
+            # the last row has a start and no end
+            return F.transform(F.filter(spans, lambda s: s["end"].isNotNull()), lambda s: F.xxhash64(F.slice(words, s["start"] + 1, s["end"] - s["start"])))
+
+        # the outer transform only names the array of words, so that it is made once
+        return F.element_at(F.transform(F.array(F.split(line, " ")), pieces), 1)
+
+    return F.array_distinct(F.flatten(F.transform(lines, lambda line: F.when(F.length(line) <= LONG, F.array(F.xxhash64(line))).otherwise(cut(line)))))
 
 
 def place(digest: Column, part: int, width: Column) -> Column:
     """The cell of a digest in a part of ``width`` cells, counted over all parts."""
-    return F.lit(part) * width + F.pmod(F.shiftrightunsigned(digest, 21 * part) % F.lit(2097152), width)
+    return F.lit(part) * width + F.pmod(F.xxhash64(digest, F.lit(part)), width)
 
 
 def check(digest: Column) -> Column:
@@ -67,14 +75,13 @@ def small_sketch(found: Column, width: int = PRINTED) -> Column:
 
 
 def printed(sketch: Column) -> Column:
-    """A sketch as hexadecimal digits: for each cell four of the count, 16 of the key and eight of the check."""
-    one = lambda c: F.concat(
-        F.lpad(F.hex(c["n"]), 4, "0"), F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["chk"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
-    )
+    """A sketch as hexadecimal digits: for each cell eight of the count, 16 of the key and eight of the check."""
+    low = lambda value: F.lpad(F.hex(value.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+    one = lambda c: F.concat(low(c["n"]), F.lpad(F.hex(c["key"]), 16, "0"), low(c["chk"]))
     return F.lower(F.concat_ws("", F.transform(sketch, one)))
 
 
-def differences(pairs: DataFrame, pair_count: int) -> DataFrame:
+def differences(pairs: DataFrame, tasks: int) -> DataFrame:
     """(pair long, found long, left_over long) from pairs (pair long, width long, ours, theirs array<long>).
 
     ``found`` digests were recovered from the difference of the two sketches; ``left_over`` cells could not be peeled. Pairs
@@ -84,7 +91,7 @@ def differences(pairs: DataFrame, pair_count: int) -> DataFrame:
         F.transform("ours", lambda d: F.struct(d.alias("d"), F.lit(1).cast("long").alias("n"))),
         F.transform("theirs", lambda d: F.struct(d.alias("d"), F.lit(-1).cast("long").alias("n"))),
     )
-    spread = pairs.repartition(max(1, -(-pair_count // PAIRS)), "pair").select("pair", "width", F.explode(signed).alias("s"))
+    spread = pairs.repartition(tasks, "pair").select("pair", "width", F.explode(signed).alias("s"))
     cells = spread.select(
         "pair", "width", F.explode(F.array(*(place(F.col("s.d"), part, F.col("width")) for part in range(3)))).alias("cell"),
         F.col("s.n").alias("n"), F.col("s.d").alias("key"), check(F.col("s.d")).alias("chk"),
@@ -117,24 +124,23 @@ def peeled(cells: DataFrame, part: int) -> DataFrame:
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """(pair, differing long): differing digests of each pair (pair long, guess double, ours, theirs array<long>).
+    """(pair, differing long): differing digests of each pair (pair long, ours, theirs array<long>); none: no row.
 
-    ``guess`` is the share of all digests expected to differ; the first sketch has room for it, later ones for twice as many.
+    The first sketches are the fingerprints. The second have room for all digests of a pair, each later one for twice as many.
     """
-    size = F.size("ours") + F.size("theirs")
-    waiting = pairs.withColumn("width", F.ceil(size * F.col("guess") * 0.55 + 4).cast("long"))
-    count, results = pairs.count(), []
-    for _ in range(ATTEMPTS):
-        if not count:
+    size = (F.size("ours") + F.size("theirs")).cast("long")
+    waiting, results = pairs.withColumn("width", F.lit(PRINTED).cast("long")), []
+    for attempt in range(ATTEMPTS):
+        weight = waiting.agg(F.sum(size)).first()[0]
+        if not weight:
             break
-        told = cut_lineage(differences(waiting.select("pair", "width", "ours", "theirs"), count))
+        told = cut_lineage(differences(waiting.select("pair", "width", "ours", "theirs"), max(1, -(-weight // DIGESTS))))
         results.append(told.where("left_over = 0").select("pair", F.col("found").alias("differing")))
         failed = told.where("left_over > 0").select("pair")
-        count = failed.count()
-        waiting = waiting.join(failed, "pair", "left_semi").withColumn("width", F.col("width") * 2)
-    if count:
-        ours, theirs = F.size(F.array_except("ours", "theirs")), F.size(F.array_except("theirs", "ours"))
-        results.append(waiting.select("pair", (ours + theirs).cast("long").alias("differing")))
+        room = (F.ceil(size * 0.55) + 4).cast("long")
+        waiting = pairs.join(failed, "pair", "left_semi").withColumn("width", F.greatest(room, F.lit(2 * PRINTED)) * 2**attempt)
+    else:
+        raise RuntimeError(f"{ATTEMPTS} sketches in a row could not be peeled")
     if not results:
         return pairs.select("pair", F.lit(0).cast("long").alias("differing"))
     out = results[0]
@@ -143,35 +149,47 @@ def compare(pairs: DataFrame) -> DataFrame:
     return out
 
 
+def runs(rows: DataFrame) -> Column:
+    """The run of each row (doc_id, ...): neighbouring ids have the same or the next; null ids are in the lowest.
+
+    Bounds come from a sample of the ids by their hash. There is a run for every ``RUN`` rows, at most ``RUNS``: beyond 33
+    million rows a run has more, which a task sorts, with spilling, and reads one after the other.
+    """
+    n = rows.count()
+    count = min(RUNS, n // RUN + 1)
+    share = min(1.0, SAMPLE * count / max(n, 1))
+    picked = rows.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) <= int(share * 1_000_000)))
+    sample = sorted({r[0] for r in picked.select("doc_id").distinct().collect()})
+    bounds = sorted({sample[i * len(sample) // count] for i in range(1, count)}) if sample else []
+    if not bounds:
+        return F.lit(0)
+    inner = int(len(bounds) ** 0.5) + 1
+    groups = [bounds[i : i + inner] for i in range(0, len(bounds), inner)]
+    above = lambda array: F.size(F.filter(array, lambda b: b < F.col("doc_id")))
+    outer = F.greatest(above(F.lit([g[0] for g in groups])), F.lit(1))
+    fine = above(F.element_at(F.array(*(F.lit(g) for g in groups)), outer))
+    return F.when(F.col("doc_id").isNull(), 0).otherwise((outer * (inner + 1) + fine).cast("int"))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(run, place, doc_id, text, own, next_text, follow): each row with the text that follows in descending order of the id.
 
     ``own`` and ``follow`` are the digests of both texts.
 
-    After the last row comes the first. Null texts are empty; null ids come last; rows with equal ids are ordered by text. Rows
-    are cut into runs of neighbouring ids by approximate percentiles, a bounded number, and each run gets a copy of the
-    first row of the run that follows, so that no task sees more than some runs.
+    After the last row comes the first. Null texts are empty; null ids come last; rows with equal ids are ordered by text. The
+    texts are shuffled once, into runs of neighbouring ids, and each run gets a copy of the first row of the run that follows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = rows.count()
-    inner = max(4, min(64, int((n / RUN) ** 0.5) + 1))
-    points = [i / (inner * inner) for i in range(1, inner * inner)]
-    found = rows.agg(F.percentile_approx("doc_id", points, 4 * RUNS)).first()[0] if n else None
-    bounds = sorted(set(found or [0]))
-    groups = [bounds[i : i + inner] for i in range(0, len(bounds), inner)]
-    above = lambda array: F.size(F.filter(array, lambda b: b < F.coalesce(F.col("doc_id"), F.lit(-(2**63)))))
-    outer = F.greatest(above(F.lit([g[0] for g in groups])), F.lit(1))
-    fine = above(F.element_at(F.array(*(F.lit(g) for g in groups)), outer))
-    rows = rows.withColumn("run", (outer * (inner + 1) + fine).cast("int"))
-    # at most RUNS runs: their greatest ids, then the rows that have them
+    rows = rows.withColumn("run", runs(rows)).withColumn("own", digests(F.col("text")))
+    # the greatest id of each run, RUNS rows at most, and the run above it: there its text is the last
     tops = rows.groupBy("run").agg(F.max("doc_id").alias("top"))
-    heads = rows.join(F.broadcast(tops.select(F.col("run").alias("r"), "top")), (F.col("run") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = cut_lineage(heads.groupBy("run").agg(F.max("text").alias("text")).withColumn("own", digests(F.col("text"))))
     up = Window.orderBy("run")
-    target = F.coalesce(F.lead("run").over(up), F.first("run").over(up))
-    guests = heads.select(target.alias("run"), F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "text", "own", F.lit(1).alias("guest"))
+    tops = cut_lineage(tops.select(F.col("run").alias("r"), "top", F.coalesce(F.lead("run").over(up), F.first("run").over(up)).alias("target")))
+    heads = rows.drop("own").join(F.broadcast(tops), (F.col("run") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    heads = heads.groupBy("target").agg(F.max("text").alias("text"))
+    guests = heads.select(F.col("target").alias("run"), F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "text", digests(F.col("text")).alias("own"), F.lit(1).alias("guest"))
     order = Window.partitionBy("run").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.desc("text"))
-    both = rows.withColumn("own", digests(F.col("text"))).withColumn("guest", F.lit(0)).unionByName(guests)
+    both = rows.withColumn("guest", F.lit(0)).unionByName(guests)
     told = both.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order)).withColumn("follow", F.lead("own").over(order))
     return told.where("guest = 0").select("run", "place", "doc_id", "text", "own", "next_text", "follow")
 
@@ -180,35 +198,31 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row for each row of ``docs``: doc_id, n_chars long, edited string digest, fingerprints and likenesses.
 
     The edited text replaces the last floor(n_chars / 2) characters by the first as many of the next document in descending
-    order of the id. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Two
-    texts without pieces are alike (1); an empty text is unlike any other (0). A single row is its own next document.
+    order of the id, which may be of any type that can be ordered. Columns: doc_id, n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited, near_next. Two texts without paragraphs are alike (1); such a text is unlike any other
+    (0). A single row is its own next document. Other columns of ``docs`` are not read; an empty table gives an empty result.
     """
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) AS int))"), F.expr("left(next_text, cast(floor(length(text) / 2) AS int))"))
     told = with_next(docs, id_col, text_col).select(
         F.shiftleft(F.col("run").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("row"), "doc_id", F.length("text").cast("long").alias("n_chars"),
         edited.alias("edited"), "own", "follow",
     )
-    told = told.withColumn("changed", digests(F.col("edited"))).select(
-        "row", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "changed", "follow",
-        printed(small_sketch(F.col("own"))).alias("fingerprint"), printed(small_sketch(F.col("changed"))).alias("edited_fingerprint"),
-    )
-    base = cut_lineage(told)
-    against = F.array(
-        F.struct(F.lit(0).alias("kind"), F.lit(0.5).alias("guess"), F.col("changed").alias("theirs")),
-        F.struct(F.lit(1).alias("kind"), F.lit(1.0).alias("guess"), F.col("follow").alias("theirs")),
-    )
-    pairs = base.select("row", F.col("own").alias("ours"), F.inline(against)).select((F.col("row") * 2 + F.col("kind")).alias("pair"), "guess", "ours", "theirs")
+    base = cut_lineage(told.select("row", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("changed"), "follow"))
+    against = F.array(F.struct(F.lit(0).alias("kind"), F.col("changed").alias("theirs")), F.struct(F.lit(1).alias("kind"), F.col("follow").alias("theirs")))
+    pairs = base.select("row", F.col("own").alias("ours"), F.inline(against)).select((F.col("row") * 2 + F.col("kind")).alias("pair"), "ours", "theirs")
     found = compare(pairs)
     by_row = found.groupBy(F.shiftright("pair", 1).alias("row")).agg(
         F.max(F.when(F.col("pair") % 2 == 0, F.col("differing"))).alias("d0"), F.max(F.when(F.col("pair") % 2 == 1, F.col("differing"))).alias("d1")
     )
-
     # likeness = shared / all = ((a + b - d) / 2) / ((a + b + d) / 2)
-    sized = base.select("row", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.size("own").alias("a"), F.size("changed").alias("b"), F.size("follow").alias("c"))
+    sized = base.select("row", "doc_id", "n_chars", "edited_sha256", "own", "changed", F.size("own").alias("a"), F.size("changed").alias("b"), F.size("follow").alias("c"))
 
     def likeness(other: str, d: str) -> Column:
         size, differing = F.col("a") + F.col(other), F.coalesce(F.col(d), F.lit(0))
         return F.when(size == 0, 1.0).otherwise((size - differing) / (size + differing)).cast("double")
 
     joined = sized.join(by_row, "row", "left")
-    return joined.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("b", "d0").alias("near_edited"), likeness("c", "d1").alias("near_next"))
+    return joined.select(
+        "doc_id", "n_chars", "edited_sha256", printed(small_sketch(F.col("own"))).alias("fingerprint"), printed(small_sketch(F.col("changed"))).alias("edited_fingerprint"),
+        likeness("b", "d0").alias("near_edited"), likeness("c", "d1").alias("near_next"),
+    )

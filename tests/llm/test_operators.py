@@ -263,19 +263,30 @@ def test_lm_beats_the_base_on_ordered_text(spark):
 
 
 def pieces(text):
-    return Counter(re.findall(r"[^\n]{1,16}", text[:256]) + re.findall(r"[^\n]{1,256}", text[256:]))
+    import xxhash
+
+    out = set()
+    for line in text.split("\n"):
+        held = []
+        for word in line.split(" ") if len(line) > 400 else ():
+            held.append(word)
+            if xxhash.xxh64_intdigest(word.encode(), 42) % 32 == 0:
+                out.add(tuple(held))
+                held = []
+        if held or 0 < len(line) <= 400:
+            out.add(tuple(held) or line)
+    return out
 
 
 def likeness(a, b):
     a, b = pieces(a), pieces(b)
-    all_ = sum((a | b).values())
-    return sum((a & b).values()) / all_ if all_ else 1.0
+    return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def test_iblt_recovers_the_differences(spark, empty):
-    rows = [(r[0], r[1]) for r in odd_rows() if r[0] != 7] + [(200 + i, "\n".join(text_of(j, 30) for j in range(i, i + 12))) for i in range(30)] + [(300, "Ü, " * 400), (301, "😀" * 31)]
-    found = {r.doc_id: r for r in iblt.fingerprint_versions(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    ordered = sorted(((i, t or "") for i, t in rows), reverse=True)
+def check_versions(spark, rows, kind="long"):
+    frame = spark.createDataFrame(rows, f"doc_id {kind}, text string, own string, run int").repartition(3)
+    found = {r.doc_id: r for r in iblt.fingerprint_versions(frame).collect()}
+    ordered = sorted(((i, t or "") for i, t, *_ in rows), reverse=True)
     assert len(found) == len(rows)
     for at, (i, text) in enumerate(ordered):
         after = ordered[(at + 1) % len(ordered)][1]
@@ -287,12 +298,34 @@ def test_iblt_recovers_the_differences(spark, empty):
     by_text = {}
     for i, text in ordered:
         by_text.setdefault(text, set()).add(found[i].fingerprint)
-    assert all(len(f) == 1 for f in by_text.values()) and len({min(f) for f in by_text.values()}) > len(by_text) - 3
+    assert all(len(f) == 1 for f in by_text.values())
+    assert len({min(f) for f in by_text.values()}) >= len({frozenset(pieces(t)) for t in by_text})
+
+
+def test_iblt_recovers_the_differences(spark, empty):
+    rows = [(r[0], r[1], "x", 1) for r in odd_rows() if r[0] != 7]
+    rows += [(200 + i, "\n".join(text_of(j, 30) for j in range(i, i + 12)), "x", 1) for i in range(30)] + [(300, "Ü, " * 400, "x", 1), (301, "😀" * 31, "x", 1)]
+    check_versions(spark, rows)
     assert iblt.fingerprint_versions(empty).count() == 0
 
 
+def test_iblt_long_paragraphs_and_ids_that_are_strings(spark):
+    lines = [text_of(i, 400) for i in range(6)]
+    changed = [line.replace(" ", " inserted words ", 1) for line in lines]
+    long = text_of(70, 130_000)
+    rows = [(f"k{i:03d}", text, "x", 1) for i, text in enumerate([*lines, *changed, "first " + long, long, long + " last", "z" * 1_000_000, None])]
+    check_versions(spark, rows, "string")
+    assert likeness(lines[0], changed[0]) > 0.7 and likeness("first " + long, long) > 0.99
+
+
+def test_iblt_runs_lose_no_row(spark, monkeypatch):
+    monkeypatch.setattr(iblt, "RUN", 7)
+    rows = [(i * 3 % 601, text_of(i, 1 + i % 9), "x", 1) for i in range(600)]
+    check_versions(spark, rows)
+
+
 def test_iblt_grows_until_it_peels(spark, monkeypatch):
-    pairs = spark.createDataFrame([(1, 0.01, list(range(500)), list(range(250, 800))), (2, 1.0, [1, 2, 3], [3, 4]), (3, 1.0, [5], [5])], "pair long, guess double, ours array<long>, theirs array<long>")
+    pairs = spark.createDataFrame([(1, list(range(500)), list(range(250, 800))), (2, [1, 2, 3], [3, 4]), (3, [5], [5])], "pair long, ours array<long>, theirs array<long>")
     assert {r.pair: r.differing for r in iblt.compare(pairs).collect() if r.differing} == {1: 550, 2: 3}
 
 
