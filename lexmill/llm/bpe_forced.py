@@ -5,12 +5,16 @@ cut. The fragments between cuts are encoded by themselves and their ids are join
 Ids of a text depend only on its white-space-free runs, so each task keeps a bounded table of the runs it has met.
 
 The vocabulary is a ``tokenizers`` JSON file of the kind "BPE with word ends": NFC, white space to one space, lower case,
-a split into letters, single digits and other signs, byte-level symbols, and an end-of-word suffix.
+a split into letters, single digits and other signs, byte-level symbols, and an end-of-word suffix. The library that such files
+are made for knows other versions of Unicode than Python. Texts with code points that Python has not assigned are normalised
+and split by that library; their fragments are encoded like any others.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +29,8 @@ KEPT_RUNS = 250_000
 #: Texts in a block.
 BLOCK = 1000
 NONE = 1 << 62
+#: A fragment of more bytes than this is merged by itself, with a heap.
+LONG_FRAGMENT = 512
 #: Characters that the splitting pattern takes as white space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: str.split() also cuts at these, which the pattern does not.
@@ -38,14 +44,32 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def unassigned() -> str:
+    """The code points that this Python has not assigned, as ranges of a character class."""
+    ranges, start = [], None
+    for code in range(sys.maxunicode + 2):
+        out = code <= sys.maxunicode and unicodedata.category(chr(code)) == "Cn"
+        if out and start is None:
+            start = code
+        elif not out and start is not None:
+            ranges.append(f"\\U{start:08x}-\\U{code - 1:08x}")
+            start = None
+    return "".join(ranges)
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
+        import re
+
         import regex
+        import tokenizers
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.new = re.compile(f"[{unassigned()}]")
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
@@ -61,7 +85,8 @@ class ForcedBoundaryBPE:
         order = np.argsort(keys)
         #: left id << 32 | right id, ascending, and rank << 32 | merged id, so that the least value is the next merge
         self.pair_keys, self.pair_values = keys[order], np.array([r << 32 | m[2] for r, m in enumerate(merges)], np.int64)[order]
-        byte_of = {s: i for i, s in enumerate(self.symbols)}
+        self.value_of = dict(zip(keys.tolist(), (r << 32 | m[2] for r, m in enumerate(merges))))
+        self.byte_of = byte_of = {s: i for i, s in enumerate(self.symbols)}
         #: the byte pairs inside tokens; any other pair is a forced boundary
         self.joined = np.zeros((256, 256), bool)
         for token in vocab:
@@ -78,6 +103,29 @@ class ForcedBoundaryBPE:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_values[at], NONE)
 
+    def merge_long(self, ids: list[int]) -> tuple[list[int], list[int]]:
+        """Ids of a long fragment, and the place of each: the next merge is the first of the least rank, found by a heap."""
+        n, value_of = len(ids), self.value_of
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(value >> 32, at, ids[at] << 32 | ids[at + 1]) for at in range(n - 1) if (value := value_of.get(ids[at] << 32 | ids[at + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, at, key = heapq.heappop(heap)
+            right = after[at]
+            if ids[at] < 0 or right >= n or ids[at] << 32 | ids[right] != key:
+                continue
+            ids[at], ids[right] = value_of[key] & 0xFFFFFFFF, -1
+            after[at] = after[right]
+            if after[at] < n:
+                before[after[at]] = at
+            for left in (before[at], at):
+                if left >= 0 and after[left] < n:
+                    key = ids[left] << 32 | ids[after[left]]
+                    if (value := value_of.get(key)) is not None:
+                        heapq.heappush(heap, (value >> 32, left, key))
+        places = [at for at in range(n) if ids[at] >= 0]
+        return [ids[at] for at in places], places
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in order, and how many each piece has. All fragments are merged side by side."""
         data = np.frombuffer(b"".join(pieces), np.uint8)
@@ -88,6 +136,15 @@ class ForcedBoundaryBPE:
         starts[1:] = (last[:-1] == 1) | ~self.joined[data[:-1], data[1:]]
         ids, place, group = self.first_ids[last, data], np.arange(len(data)), np.cumsum(starts) - 1
         done_ids, done_place = [], []
+        heads = np.flatnonzero(starts)
+        sizes = np.diff(np.r_[heads, len(ids)])
+        if (sizes > LONG_FRAGMENT).any():
+            for head, size in zip(heads[sizes > LONG_FRAGMENT].tolist(), sizes[sizes > LONG_FRAGMENT].tolist()):
+                made, at = self.merge_long(ids[head : head + size].tolist())
+                done_ids.append(np.array(made, np.int64))
+                done_place.append(np.array(at, np.int64) + head)
+            short = np.repeat(sizes <= LONG_FRAGMENT, sizes)
+            ids, place, group = ids[short], place[short], group[short]
         ranks = np.full(len(ids), NONE)
         ranks[:-1] = np.where(group[1:] == group[:-1], self.pair_ranks(ids[:-1], ids[1:]), NONE)
         while len(ids):
@@ -120,12 +177,15 @@ class ForcedBoundaryBPE:
         """Of normalised runs without white space: packed ids, and the decoded text in UTF-8."""
         pieces, counts = [], []
         for run in runs:
-            found = [run] if run.isalpha() else self.pieces.findall(run)
+            if not run.isascii() and self.new.search(run):
+                found = [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(run)]
+            else:
+                found = [piece.encode() for piece in ([run] if run.isalpha() else self.pieces.findall(run))]
             counts.append(len(found))
             pieces += found
         if not pieces:
             return {r: (b"", b"") for r in runs}
-        ids, sizes = self.encode_pieces([p.encode() for p in pieces])
+        ids, sizes = self.encode_pieces(pieces)
         ends = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)].tolist()
         packed, every, token, start, out = ids.astype("<u4").tobytes(), ids.tolist(), self.token_bytes, 0, {}
         for run, end in zip(runs, ends):
@@ -136,6 +196,8 @@ class ForcedBoundaryBPE:
     def runs(self, text: str) -> list[str]:
         """The normalised runs of a text that holds no special token."""
         if not text.isascii():
+            if self.new.search(text):
+                return [r for r in self.blank.split(self.library.normalizer.normalize_str(text)) if r]
             text = unicodedata.normalize("NFC", text)
         # each character is lower-cased by itself; str.lower() looks around a capital sigma
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()

@@ -120,17 +120,46 @@ def test_near_duplicates_of_nothing(empty):
 SAMPLES = ["", "  ", "it's I'LL they've don''t", "a<|endoftext|>b <|startoftext|>", "<|EndOfText|> <|", "Σίσυφος ΟΔΟΣ", "é café ﬁ Å", "\x1cab\x1d c\x85d e　f", "123 4五६ ½", "İstanbul ß ẞ", "😀👍🏽 a‍b", "한국어 제1조①", "x" * 5000, "a'" * 300, "\x00\x01"]
 
 
-def test_bpe_equals_the_library():
-    tokenizers = pytest.importorskip("tokenizers")
+@pytest.fixture(scope="module")
+def both_bpes():
+    import tokenizers
+
     path = bpe_forced.vocabulary_path("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    texts = SAMPLES + [r[1] or "" for r in odd_rows()]
-    for text, (packed, decoded) in zip(texts, bpe_forced.ForcedBoundaryBPE(path).encode(texts)):
-        ids = library.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(packed, "<u4").tolist() == ids
-        assert decoded.decode() == library.decode(ids, skip_special_tokens=False)
+    return library, bpe_forced.ForcedBoundaryBPE(path)
+
+
+def differing(both, texts):
+    library, own = both
+    wanted = library.encode_batch(texts, add_special_tokens=False)
+    decoded = library.decode_batch([w.ids for w in wanted], skip_special_tokens=False)
+    return [t for t, w, d, (ids, back) in zip(texts, wanted, decoded, own.encode(texts)) if np.frombuffer(ids, "<u4").tolist() != w.ids or back.decode() != d]
+
+
+def test_bpe_equals_the_library(both_bpes):
+    assert not differing(both_bpes, SAMPLES + [r[1] or "" for r in odd_rows()])
+
+
+def test_bpe_equals_the_library_on_every_code_point(both_bpes):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert not differing(both_bpes, [f"A{chr(c)}b {chr(c)}{chr(c)}1" for c in points if c < 0x30000 or c % 97 == 0])
+
+
+def test_bpe_equals_the_library_on_mixed_texts(both_bpes):
+    pick = random.Random(11)
+    blocks = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x590), (0x590, 0x900), (0x900, 0xE00), (0x1100, 0x1200), (0x1C80, 0x1E00), (0x2000, 0x2100), (0xA7C0, 0xA800), (0xAC00, 0xAC80), (0x10570, 0x10600), (0x10D40, 0x10D90), (0x16100, 0x16140), (0x1F600, 0x1F640)]
+    texts = ["".join(chr(pick.randrange(*pick.choice(blocks))) for _ in range(pick.randrange(1, 30))) for _ in range(4000)]
+    assert not differing(both_bpes, texts)
+
+
+def test_bpe_long_fragments(both_bpes):
+    pick = random.Random(12)
+    texts = ["ab" * 3000, "a" * 4097, "".join(pick.choice("aeinrst") for _ in range(20_000)), "é" * 2000, "x1" * 2000]
+    assert not differing(both_bpes, texts)
+    (ids, decoded), = both_bpes[1].encode(["a" * 1_000_000])
+    assert decoded.decode().replace(" ", "").replace("</w>", "") == "a" * 1_000_000
 
 
 def test_forced_boundaries_join_no_token():
