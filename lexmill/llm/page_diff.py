@@ -17,9 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import cut_lineage
+
+#: Pages in a run of neighbouring URLs, the largest number of runs, and keys of the sample for each bound.
+RUN, RUNS, SAMPLE = 200, 65536, 8
 #: Elements whose content is no text at all; elements that never hold the article; elements that start a new line.
 SILENT = frozenset("script style noscript template iframe object svg math head title canvas audio video".split())
 ASIDE = frozenset("nav header footer aside form button select textarea dialog menu".split())
@@ -179,20 +183,31 @@ def shared_lines(mine: list[str], other: list[str]) -> set[int]:
         return shared
     number = {line: i for i, line in enumerate(here)}
     a, b = np.array([number[mine[i]] for i in rows]), np.array([number[x] for x in columns])
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        down = np.maximum(best[i + 1, :-1], np.where(b == a[i], best[i + 1, 1:] + 1, 0))
-        best[i, :-1] = np.maximum.accumulate(down[::-1])[::-1]
-    i = j = 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            shared.add(rows[i])
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
-        else:
-            j += 1
-    return shared
+    return shared.union(rows[i] for i in common_subsequence(a, b))
+
+
+def lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each start of ``b`` (none of it first) the length of its longest common subsequence with ``a``."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0)))
+    return row
+
+
+def common_subsequence(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions in ``a`` of a longest common subsequence, in space that grows with the lengths and not with their product."""
+    found, todo = [], [(a, b, 0)]
+    while todo:
+        a, b, start = todo.pop()
+        if not len(a) or not len(b):
+            continue
+        if len(a) == 1:
+            found += [start] * bool((b == a[0]).any())
+            continue
+        half = len(a) // 2
+        split = int(np.argmax(lengths(a[:half], b) + lengths(a[half:][::-1], b[::-1])[::-1]))
+        todo += [(a[:half], b[:split], start), (a[half:], b[split:], start + half)]
+    return sorted(found)
 
 
 def article(lines: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
@@ -223,27 +238,60 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"//[^/?#]*([^?#]*)", 1)
 
 
+def runs(rows: DataFrame) -> Column:
+    """The run of each row by its ``key``: pages with neighbouring keys have the same or the next.
+
+    Bounds come from a sample of the keys by their hash, so that the same pages make the same runs: one for every ``RUN`` pages,
+    at most ``RUNS``; beyond 13 million pages a run has more, which a task sorts, with spilling, and reads one after the other.
+    """
+    n = rows.count()
+    count = min(RUNS, n // RUN + 1)
+    share = min(1.0, SAMPLE * count / max(n, 1))
+    sample = sorted(r.key for r in rows.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1_000_000)) <= int(share * 1_000_000)).select("key").distinct().collect())
+    bounds = sorted({sample[i * len(sample) // count] for i in range(1, count)}) if sample else []
+    if not bounds:
+        return F.lit(0)
+    inner = int(len(bounds) ** 0.5) + 1
+    groups = [bounds[i : i + inner] for i in range(0, len(bounds), inner)]
+    above = lambda array: F.size(F.filter(array, lambda b: b < F.col("key")))
+    outer = F.greatest(above(F.lit([g[0] for g in groups])), F.lit(1))
+    return (outer * (inner + 1) + above(F.element_at(F.array(*(F.lit(g) for g in groups)), outer))).cast("int")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text): one row for each row of ``pages``; a null page is empty, a page without article gives "".
 
-    One shuffle orders the pages by host, path and id into ranges, and a task holds three pages at a time. The neighbour is
-    the different page before or after it on its host, in its range, whose path shares the longer start; a page without one
-    is decided by the markup. Repeated pages and ids are kept as they are; a null URL counts as a host of its own.
+    Pages are ordered by host, path and a hash of the id. One shuffle brings runs of neighbours together, each with the page
+    before and the page after it, and a task holds three pages at a time. The neighbour is the different page before or after
+    on the host whose path shares the longer start; a page without one is decided by the markup. Repeated pages and ids
+    are kept as they are, and other columns are not read; a null URL counts as a host of its own. At the edge of a run, a
+    page whose copies fill the page handed over has no neighbour on that side. Equal tables give equal results.
     """
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
-    ranged = rows.repartitionByRange("host", "path", "page_id", F.xxhash64("html")).sortWithinPartitions("host", "path", "page_id", F.xxhash64("html"))
+    rows = rows.withColumn("key", F.concat_ws("\x01", "host", "path", F.hex(F.xxhash64("page_id"))))
+    rows = rows.withColumn("run", runs(rows)).withColumn("guest", F.lit(False))
+    # the first and the last key of each run, RUNS rows at most, and the runs beside it, to which their pages are handed
+    up = Window.orderBy("run")
+    ends = rows.groupBy("run").agg(F.min("key").alias("low"), F.max("key").alias("high")).select("*", F.lag("run").over(up).alias("under"), F.lead("run").over(up).alias("over"))
+    ends = cut_lineage(ends.select(F.explode(F.array(F.struct(F.col("low").alias("end"), F.col("under").alias("to")), F.struct(F.col("high").alias("end"), F.col("over").alias("to")))).alias("e")).where("e.to IS NOT NULL").select("e.*"))
+    handed = rows.join(F.broadcast(ends), F.col("key") == F.col("end")).dropDuplicates(["end", "to"]).withColumn("run", F.col("to")).withColumn("guest", F.lit(True))
+    both = rows.unionByName(handed.select(*rows.columns))
+    order = ["run", "key", "page_id", F.xxhash64("html")]
+    names = ("page_id", "url", "html", "host", "path", "guest", "run")
     ids = ", ".join(f"{c} {k}" for c, k in rows.dtypes[:2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # (path, lines) of the last different page of the host
-        held: list[tuple] = []  # (id, url, path) of equal pages in a row, until the page after them is read
-        held_host, held_lines = None, None
+        held: list[tuple] = []  # (id, url, path, guest) of equal pages in a row, until the page after them is read
+        held_of, held_lines = None, None
         ids, urls, texts, kind = [], [], [], None
 
         def tell(after: tuple | None) -> None:
             made: dict[bool, str] = {}
-            for page_id, url, path in held:
+            for page_id, url, path, guest in held:
+                if guest:
+                    continue
                 later = before is None or after is not None and common_path(path, after[0]) > common_path(path, before[0])
                 if later not in made:
                     side = after if later else before
@@ -259,19 +307,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                for page_id, url, html, host, path in zip(*(part.column(c).to_pylist() for c in range(5))):
+                for page_id, url, html, host, path, guest, of_run in zip(*(part.column(c).to_pylist() for c in range(len(names)))):
                     lines = lines_of(html)
-                    if held and not (host == held_host and lines == held_lines):
-                        same = host == held_host
+                    if held and not ((of_run, host) == held_of and lines == held_lines):
+                        same = (of_run, host) == held_of
                         tell((path, lines) if same else None)
                         before = (held[-1][2], held_lines) if same else None
                         held = []
-                    held.append((page_id, url, path))
-                    held_host, held_lines = host, lines
+                    held.append((page_id, url, path, guest))
+                    held_of, held_lines = (of_run, host), lines
                 if ids:
                     yield told()
         if held:
             tell(None)
+        if ids:
             yield told()
 
-    return ranged.select("page_id", "url", "html", "host", "path").mapInArrow(run, f"{ids}, text string")
+    return both.repartition("run").sortWithinPartitions(*order).select(*names).mapInArrow(run, f"{ids}, text string")
