@@ -52,8 +52,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and the token ids of every document."""
-    return encode(docs, "word_bpe_49k.json", keep=("source",), outputs=("n_tokens", "ids"))
+    """doc_id, source, n_tokens, the token ids of every document, and the digest of what they decode to; a null text has none.
+
+    One row for each row of ``docs``, repeated and null ids too; whole texts of any length; no other column is read.
+    """
+    made = encode(docs, "word_bpe_49k.json", keep=("source",), outputs=("n_tokens", "ids", "decoded"))
+    return made.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut_lineage, power_of_two
 from lexmill.llm.components import components
-from lexmill.llm.simhash_vptree import BLOCK, FACING, FEWEST, HOME, MOST, SAMPLE_PER_SHARD, SHARD, VISITOR, VantageTree, bands, distance
+from lexmill.llm.simhash_vptree import BLOCK, CELL, FACING, FEWEST, HOME, MOST, SAMPLE_PER_SHARD, SHARD, VISITOR, VantageTree, bands, distance
 
 #: Words of a fingerprint, bands of 16 bits, bits that may differ in a band and in two words.
 WORDS, BANDS, WITHIN, RADIUS = 3, 12, 1, 30
@@ -97,7 +97,7 @@ def candidates(nodes: DataFrame, crowd: int | None, shard: int = SHARD, block: i
     trees = [VantageTree(sample[b // 4] & mask, 1, shards.bit_length() - 1, seed=b) for b, mask in enumerate(MASKS)]
     blocks = [[max(1, -(-int(w / share) // block)) for w in t.weights] for t in trees]
     shared = spark.sparkContext.broadcast((trees, blocks))
-    names = ["cell", "node", "mine", "next", "label", "role"]
+    names = [*CELL, "node", "mine", "next", "label", "role"]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, blocks = shared.value
@@ -118,12 +118,12 @@ def candidates(nodes: DataFrame, crowd: int | None, shard: int = SHARD, block: i
                         sent += [(own[at < j], at[at < j], np.full((at < j).sum(), j), FACING), (own[at > j], np.full((at > j).sum(), j), at[at > j], VISITOR)]
                     for who, i, j, role in sent:
                         if len(who):
-                            cell = ((b * (MOST + 1) + leaf) * 4096 + i) * 4096 + j
-                            columns = [cell, node[who], mine[who].view(np.int64), after[who].view(np.int64), label[who], np.full(len(who), role, np.int8)]
+                            cell = [np.full(len(who), b), np.full(len(who), leaf), i, j]
+                            columns = [*(c.astype(np.int32) for c in cell), node[who], mine[who].view(np.int64), after[who].view(np.int64), label[who], np.full(len(who), role, np.int8)]
                             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     def compare(cell: pa.Table) -> pa.Table:
-        mask = MASKS[(cell.column("cell")[0].as_py() >> 24) // (MOST + 1)]
+        mask = MASKS[cell.column("band")[0].as_py()]
         node, label, role = (cell.column(c).to_numpy() for c in ("node", "label", "role"))
         mine, after = (cell.column(c).to_numpy().view(np.uint64) for c in ("mine", "next"))
         order = np.argsort(node)
@@ -156,8 +156,8 @@ def candidates(nodes: DataFrame, crowd: int | None, shard: int = SHARD, block: i
         a, b, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
         return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b), "d": d.astype(np.int16)})
 
-    routed = nodes.mapInArrow(route, "cell long, node long, mine long, next long, label long, role byte")
-    return routed.groupBy("cell").applyInArrow(compare, "u long, v long, d short")
+    routed = nodes.mapInArrow(route, "band int, leaf int, i int, j int, node long, mine long, next long, label long, role byte")
+    return routed.groupBy(*CELL).applyInArrow(compare, "u long, v long, d short")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:

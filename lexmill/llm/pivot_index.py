@@ -29,7 +29,10 @@ APART = 0.8
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Vectors of length one; scaled by a power of two first, so that no square overflows or vanishes."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True, initial=0))
+    scaled = np.ldexp(vectors, -exponent)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def matrix(column: pa.ListArray, n: int) -> np.ndarray:

@@ -24,9 +24,12 @@ from lexmill.llm.components import LocalForest, components
 
 BANDS = 4
 #: Distinct fingerprints that a shard should hold, bounds of the number of shards of a band, and of the sample for one.
-SHARD, FEWEST, MOST, SAMPLE_PER_SHARD = 2000, 16, 1024, 32
-#: A shard expected to hold more than this is cut into blocks, and its blocks are compared in pairs.
+SHARD, FEWEST, MOST, SAMPLE_PER_SHARD = 2000, 16, 16384, 32
+#: A shard expected to hold more than this is cut into blocks, and its blocks are compared in pairs: over 33 million distinct
+#: fingerprints shards grow, a band of 16 bits has no more of them, and so does the number of pairs of blocks.
 BLOCK = 8000
+#: What names the rows that a task compares: a band, a shard, and two blocks of it.
+CELL = ("band", "leaf", "i", "j")
 HOME, VISITOR, FACING = 0, 1, 2
 
 
@@ -173,16 +176,12 @@ def near_pairs(distinct: DataFrame, max_bits: int = 4, band_count: int = BANDS,
                         sent += [(own[mine < j], mine[mine < j], np.full((mine < j).sum(), j), FACING), (own[mine > j], np.full((mine > j).sum(), j), mine[mine > j], VISITOR)]
                     for who, i, j, role in sent:
                         if len(who):
-                            cell = ((b * (MOST + 1) + leaf) * 4096 + i) * 4096 + j
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(cell, pa.int64()), pa.array(fps[who].view(np.int64)), pa.array(np.full(len(who), role, np.int8))], ["cell", "fp", "role"]
-                            )
-
-
+                            cell = [np.full(len(who), b), np.full(len(who), leaf), i, j]
+                            columns = [*(pa.array(c.astype(np.int32)) for c in cell), pa.array(fps[who].view(np.int64)), pa.array(np.full(len(who), role, np.int8))]
+                            yield pa.RecordBatch.from_arrays(columns, [*CELL, "fp", "role"])
 
     def compare(cell: pa.Table) -> pa.Table:
-        at = cell.column("cell")[0].as_py()
-        mask = bands(band_count)[(at >> 24) // (MOST + 1)]
+        mask = bands(band_count)[cell.column("band")[0].as_py()]
         fps, role = cell.column("fp").to_numpy().view(np.uint64), cell.column("role").to_numpy()
         homes, visitors = np.sort(fps[role != VISITOR]), np.sort(fps[role == VISITOR])
         if not len(homes):
@@ -192,7 +191,8 @@ def near_pairs(distinct: DataFrame, max_bits: int = 4, band_count: int = BANDS,
         moved = root != np.arange(len(root))
         return pa.table({"u": every[moved], "v": every[root[moved]]})
 
-    return distinct.select("fp").mapInArrow(route, "cell long, fp long, role byte").groupBy("cell").applyInArrow(compare, "u long, v long")
+    routed = distinct.select("fp").mapInArrow(route, "band int, leaf int, i int, j int, fp long, role byte")
+    return routed.groupBy(*CELL).applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 4, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

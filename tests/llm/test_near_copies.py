@@ -65,3 +65,14 @@ def test_one_row_of_each_group_with_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [tuple(r) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
     assert sorted(kept, key=str) == sorted([(1, one), (1, two), (None, three), (9, four)], key=str)
+
+
+def test_more_blocks_than_one_shard_holds(spark):
+    """Blocks of a single shard beyond any packed number: no pair is lost in another band or shard."""
+    from lexmill.llm import simhash_vptree
+
+    values = [(i << 40) | (i & 1) for i in range(300)]
+    frame = spark.createDataFrame([(v,) for v in values], "fp long")
+    links = simhash_vptree.near_pairs(frame, shard=1000, block=2).collect()
+    want = roots(values, [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4])
+    assert roots(values, [(r.u, r.v) for r in links]) == want

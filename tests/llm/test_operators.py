@@ -460,6 +460,28 @@ def test_pivot_index_equals_brute_force(spark, monkeypatch):
     assert pivot_index.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_pivot_index_huge_and_tiny_vectors(spark):
+    pick = np.random.default_rng(4)
+    base = pick.normal(size=(20, 8))
+    rows = [(20 * k + i, (base[i] * scale).tolist(), i % 2) for k, scale in enumerate((1e300, 1.0, 1e-300)) for i in range(20)]
+    found = pivot_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert all(r.n_links >= 2 and r.component_id <= r.vec_id % 20 for r in found)
+
+
+def test_pivot_index_recall_at_the_threshold(spark):
+    """Pairs at cosines of 0.93 to 0.95 in 64 dimensions, among ten times as many vectors."""
+    pick = np.random.default_rng(6)
+    unit = pivot_index.unit(pick.normal(size=(2000, 64)))
+    off = pick.normal(size=(400, 64))
+    off = pivot_index.unit(off - (off * unit[:400]).sum(1, keepdims=True) * unit[:400])
+    cosine = pick.uniform(0.9301, 0.95, size=(400, 1))
+    near = cosine * unit[:400] + np.sqrt(1 - cosine**2) * off
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(unit)] + [(5000 + i, v.tolist(), i % 2) for i, v in enumerate(near)]
+    found = {r.vec_id: r for r in pivot_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    recall = sum(found[5000 + i].component_id == i for i in range(400)) / 400
+    assert recall >= 0.9, recall
+
+
 # op10
 
 
