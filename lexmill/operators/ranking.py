@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import ratio, tokens
+from lexmill.functions.text import TOKEN, ratio, tokens
 
 #: BM25 parameters and the rank constant of reciprocal rank fusion.
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -19,8 +19,13 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens(text_col)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+def document_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term): a row for each document and distinct term in it, so that counting exchanges terms alone, summed by task."""
+    return docs.select(F.explode(F.array_distinct(tokens(text_col))).alias("term"))
+
+
 def term_statistics(index: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(term, df, idf) from postings and a one-row table (n)."""
+    """(term, df, idf) from postings, or rows of distinct terms by document, and a one-row table (n)."""
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     return df.join(F.broadcast(n_docs)).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
@@ -35,22 +40,28 @@ def top_k(scored: DataFrame, k: int, partition: str = "query_id", score: str = "
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: So many terms of queries are broadcast; more are joined by shuffle.
+BROADCAST_TERMS = 100_000
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
     """Top k documents of each query (query_id, text), by the score at ``digits`` decimals, so that the order of sums is no tie-break.
 
-    Only postings of query terms are kept: the semi-join on the distinct terms comes before the aggregations that need a
-    shuffle, so a large corpus sends on what the queries touch.
+    Postings are counted with the length of their document beside them, and only those of query terms: the semi-join on the
+    distinct terms comes before the one exchange of postings, so a large corpus sends on what the queries touch.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
     wanted = asked.select("term").distinct()
-    exploded = docs.select("doc_id", F.explode(tokens("text")).alias("term")).join(wanted, "term", "left_semi")
-    index = exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    lengths = document_lengths(docs)
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
+    small = asked.count() <= BROADCAST_TERMS
+    told = docs.select("doc_id", tokens("text").alias("t")).select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term"))
+    # postings of a document stay together until its scores are summed
+    exploded = told.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").repartition("doc_id")
+    index = exploded.groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
+    corpus = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count(F.lower("text"), F.lit(TOKEN)), F.lit(-1))).alias("avg_len"))
     terms = term_statistics(index, corpus.select("n"))
-    weighed = index.join(terms, "term").join(lengths, "doc_id").join(F.broadcast(corpus.select("avg_len")))
+    weighed = index.join(F.broadcast(terms) if small else terms, "term").join(F.broadcast(corpus.select("avg_len")))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
-    hits = weighed.select("term", "doc_id", (F.col("idf") * tf).alias("part")).join(asked, "term")
+    hits = weighed.select("term", "doc_id", (F.col("idf") * tf).alias("part")).join(F.broadcast(asked) if small else asked, "term")
     return top_k(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), digits).alias("score")), k)
 
 
@@ -97,7 +108,7 @@ def calibrated(score: str = "score", partition: str = "query_id") -> Column:
 def adaptive_filter(ranked: DataFrame, threshold: float) -> DataFrame:
     """Rows of at least the threshold; the best row of a query where none reaches it."""
     none = F.max(F.col("score") >= threshold).over(Window.partitionBy("query_id")) == F.lit(False)
-    return ranked.where(F.lit(True)).withColumn("none", none).where((F.col("score") >= threshold) | F.col("none") & (F.col("rank") == 1)).drop("none")
+    return ranked.withColumn("none", none).where((F.col("score") >= threshold) | F.col("none") & (F.col("rank") == 1)).drop("none")
 
 
 def first_of_group(ranked: DataFrame, group: list[str], order: list[Column]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import clipped, jaccard, keyword_tokens, ratio, tokens
 from lexmill.operators import ranking as R
 from lexmill.plans.registry import query
-from lexmill.sources.tables import table
+from lexmill.sources.tables import spread, table
 
 #: SQL pieces: tokens, and the query texts.
 TOK = "regexp_extract_all(lower(text), '[가-힣]+|[a-z0-9]+')"
@@ -31,7 +31,7 @@ bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), asked(spark, sf_dir))
+    return R.bm25(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), asked(spark, sf_dir))
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM bm")
@@ -42,8 +42,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH p AS (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents)
 SELECT term, count(*) AS df, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 9) AS idf FROM p, n GROUP BY term""")
 def term_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return R.term_statistics(R.postings(docs), docs.agg(F.count("*").alias("n"))).select("term", "df", F.round("idf", 9).alias("idf"))
+    docs = spread(table(spark, sf_dir, "documents").select("text"))
+    return R.term_statistics(R.document_frequencies(docs), docs.agg(F.count("*").alias("n"))).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(f"""SELECT lang, count(*) AS n_docs, sum(l)::BIGINT AS tokens, round(avg(l), 6) AS avg_len, min(l) AS shortest, max(l) AS longest

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as X
 from lexmill.operators import dedup, sync, tree
 from lexmill.plans.registry import query
-from lexmill.sources.tables import table
+from lexmill.sources.tables import spread, table
 
 TOK = "regexp_extract_all(lower(text), '[가-힣]+|[a-z0-9]+')"
 COUNT = "CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, floor(length(text) / 2.5))::BIGINT END"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(generate_series(0, greatest(n_chars - 1, 0), 450)) AS start, text, n_chars FROM documents)

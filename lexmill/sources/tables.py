@@ -50,6 +50,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input has fewer splits than that, as a file of a single row group; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+
 def read_documents(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
     """One row per document of document JSON files: index pages and documents without a code are skipped."""
     docs = spark.read.schema(document_schema(depth)).option("multiLine", True).json(path).select(F.inline("docs"))
