@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.bpe_forced import encode
+from lexmill.llm.common import shared_folder
 from lexmill.llm.language_mixture import UNDETERMINED, identify, train
 from lexmill.llm.near_copies import near_copies
 from lexmill.llm.source_mix import mix, word_count
@@ -79,13 +80,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told
-    import tempfile
-
-    return "file://" + tempfile.mkdtemp(prefix="spark-")

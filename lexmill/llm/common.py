@@ -7,23 +7,37 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.sources.tables import spread
+
 #: Java pattern of a word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt over all cores where it has fewer splits than that."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. A cluster must name one; a local session without it gets a temporary one."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return told
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return a frame that reads it back.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session that names none (tests, a laptop) gets a temporary one.
+    The folder comes from ``spark.checkpoint.dir``; only a local session that names none (tests, a laptop) gets a temporary one.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
