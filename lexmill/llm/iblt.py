@@ -19,8 +19,9 @@ from lexmill.llm.common import cut_lineage
 
 #: A paragraph is a line; one of more characters than LONG is cut after every word whose hash is 0 modulo EVERY.
 LONG, EVERY = 400, 32
-#: Cells in a part of a fingerprint; rounds of peeling; sketches in a row that may fail, each at least twice as large as the last.
-PRINTED, ROUNDS, ATTEMPTS = 8, 15, 24
+#: Cells in a part of a fingerprint; rounds of peeling fingerprints and larger sketches; sketches in a row that may fail, each at
+#: least twice as large as the last.
+PRINTED, FIRST_ROUNDS, ROUNDS, ATTEMPTS = 8, 6, 12, 24
 #: Documents in a run of neighbouring ids, the largest number of runs, and ids of the sample for each bound.
 RUN, RUNS, SAMPLE = 500, 65536, 8
 #: Digests in a task while peeling.
@@ -81,7 +82,7 @@ def printed(sketch: Column) -> Column:
     return F.lower(F.concat_ws("", F.transform(sketch, one)))
 
 
-def differences(pairs: DataFrame, tasks: int) -> DataFrame:
+def differences(pairs: DataFrame, tasks: int, rounds: int = ROUNDS) -> DataFrame:
     """(pair long, found long, left_over long) from pairs (pair long, width long, ours, theirs array<long>).
 
     ``found`` digests were recovered from the difference of the two sketches; ``left_over`` cells could not be peeled. Pairs
@@ -97,7 +98,7 @@ def differences(pairs: DataFrame, tasks: int) -> DataFrame:
         F.col("s.n").alias("n"), F.col("s.d").alias("key"), check(F.col("s.d")).alias("chk"),
     )
     cells = summed(cells)
-    for turn in range(ROUNDS):
+    for turn in range(rounds):
         cells = summed(peeled(cells, turn % 3))
     return cells.groupBy("pair").agg(
         F.coalesce(F.sum(F.when(F.col("cell") < 0, F.col("n"))), F.lit(0)).alias("found"), F.count(F.when(F.col("cell") >= 0, 1)).alias("left_over")
@@ -130,14 +131,17 @@ def compare(pairs: DataFrame) -> DataFrame:
     """
     size = (F.size("ours") + F.size("theirs")).cast("long")
     waiting, results = pairs.withColumn("width", F.lit(PRINTED).cast("long")), []
+    whole = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("digests")).first()
+    left = whole.n
     for attempt in range(ATTEMPTS):
-        weight = waiting.agg(F.sum(size)).first()[0]
-        if not weight:
+        if not left:
             break
-        told = cut_lineage(differences(waiting.select("pair", "width", "ours", "theirs"), max(1, -(-weight // DIGESTS))))
+        tasks = max(1, -(-whole.digests * left // (whole.n * DIGESTS)))
+        told = cut_lineage(differences(waiting.select("pair", "width", "ours", "theirs"), tasks, ROUNDS if attempt else FIRST_ROUNDS))
         results.append(told.where("left_over = 0").select("pair", F.col("found").alias("differing")))
         failed = told.where("left_over > 0").select("pair")
-        room = (F.ceil(size * 0.55) + 4).cast("long")
+        left = failed.count()
+        room = (F.ceil(size * 0.8) + 8).cast("long")
         waiting = pairs.join(failed, "pair", "left_semi").withColumn("width", F.greatest(room, F.lit(2 * PRINTED)) * 2**attempt)
     else:
         raise RuntimeError(f"{ATTEMPTS} sketches in a row could not be peeled")
