@@ -40,11 +40,11 @@ def experiment(assigned: DataFrame, converted: Column) -> DataFrame:
 
 
 def failures(rows: DataFrame, kind: Column, score: str, k: int = 5) -> DataFrame:
-    """Top classes of failures: count, mean score and examples with the smallest ids."""
+    """Top classes of failures: count, mean score and up to k examples with the smallest ids."""
     classed = rows.withColumn("kind", kind)
     example = F.row_number().over(Window.partitionBy("kind").orderBy("doc_id"))
     counts = classed.groupBy("kind").agg(F.count("*").alias("n"), F.avg(score).alias("mean"))
-    shown = classed.withColumn("r", example).where("r <= 5").groupBy("kind").agg(F.array_sort(F.collect_list("doc_id")).alias("examples"))
+    shown = classed.withColumn("r", example).where(F.col("r") <= k).groupBy("kind").agg(F.array_sort(F.collect_list("doc_id")).alias("examples"))
     return counts.join(shown, "kind").orderBy(F.desc("n"), "kind").limit(k)
 
 

@@ -74,11 +74,21 @@ def cosine(a: Column, b: Column) -> Column:
     return ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Query vectors that are broadcast at once; more are asked in blocks.
+QUERY_BLOCK = 10_000
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = None, digits: int = 9) -> DataFrame:
-    """Exact top k vectors for a stated set of queries (query_id, embedding), which is broadcast: keep it small."""
-    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("asked")))
-    scored = vectors.join(asked, F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", F.round(cosine(F.col("asked"), F.col("embedding")), digits).alias("score"))
-    return top_k(scored if threshold is None else scored.where(F.col("score") >= threshold), k)
+    """Exact top k vectors for a stated set of queries (query_id, embedding), in blocks of about ``QUERY_BLOCK`` that are broadcast."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = None
+    for block in range(blocks):
+        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
+        asked = F.broadcast(mine.select("query_id", F.col("embedding").alias("asked")))
+        scored = vectors.join(asked, F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", F.round(cosine(F.col("asked"), F.col("embedding")), digits).alias("score"))
+        best = top_k(scored if threshold is None else scored.where(F.col("score") >= threshold), k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def reciprocal_rank_fusion(lists: list[tuple[DataFrame, float]], k: int = 10, rrf_k: int = RRF_K, digits: int = 12) -> DataFrame:

@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import FULL_REF, no_space, token_count
 
-#: Levels below which a tree is not followed.
-MAX_DEPTH = 10
+#: Levels that a tree may have; more are taken for a cycle.
+MAX_DEPTH = 1000
 
 
 def paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(doc_id, node_id, level, path array<string>, label) from nodes (doc_id, node_id, parent_id, label): roots have no parent.
 
-    Walks one level a step, so the work is one join a level and the number of levels is bounded.
+    Walks one level a step, a join each, until a level is empty. Nodes below no root have no row. A walk of over ``max_depth``
+    levels raises: then nodes are their own ancestors.
     """
     level = nodes.where("parent_id IS NULL").select("doc_id", "node_id", "label", F.lit(1).alias("level"), F.array("label").alias("path"))
     out = level
     children = nodes.where("parent_id IS NOT NULL").select(F.col("doc_id").alias("d"), F.col("node_id").alias("child"), "parent_id", F.col("label").alias("name"))
-    for depth in range(2, max_depth + 1):
+    for depth in range(2, max_depth + 2):
         on = (F.col("d") == F.col("doc_id")) & (F.col("parent_id") == F.col("node_id"))
         level = level.join(children, on).select("doc_id", F.col("child").alias("node_id"), F.col("name").alias("label"), F.lit(depth).alias("level"), F.concat("path", F.array("name")).alias("path"))
+        if level.isEmpty():
+            return out
         out = out.unionByName(level)
-    return out
+    raise ValueError(f"a tree has over {max_depth} levels")
 
 
 def depth(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -20,7 +20,7 @@ FEEDBACK = "timestamp string, query string, result_id string, rule_code string,
 
 
 def node_schema(depth: int = 4) -> T.StructType:
-    """Schema of a tree node with so many levels of children below it."""
+    """Schema of a tree node with so many levels of children below it; what lies deeper is kept as JSON text."""
     fields = [
         T.StructField(n, k)
         for n, k in (
@@ -28,8 +28,7 @@ def node_schema(depth: int = 4) -> T.StructType:
             ("embedding_text", T.StringType()), ("is_searchable", T.BooleanType()), ("metadata", T.MapType(T.StringType(), T.StringType())),
         )
     ]
-    if depth:
-        fields.append(T.StructField("children", T.ArrayType(node_schema(depth - 1))))
+    fields.append(T.StructField("children", T.ArrayType(node_schema(depth - 1)) if depth else T.StringType()))
     return T.StructType(fields)
 
 
@@ -56,7 +55,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-
 def read_documents(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
     """One row per document of document JSON files: index pages and documents without a code are skipped."""
     docs = spark.read.schema(document_schema(depth)).option("multiLine", True).json(path).select(F.inline("docs"))
@@ -67,15 +65,22 @@ def read_documents(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
 
 
 def flatten_nodes(docs: DataFrame, depth: int = 4) -> DataFrame:
-    """(rule_code, position array<int>, level, id, type, title, text): nodes in pre-order by position, content before addenda."""
+    """(rule_code, position array<int>, level, id, type, title, text): nodes in pre-order by position, content before addenda.
+
+    Trees of any depth: every ``depth`` levels, what is left as JSON text is read by the same schema, until nothing is left.
+    """
     level = docs.select("rule_code", F.posexplode(F.concat(F.coalesce("content", F.array()), F.coalesce("addenda", F.array()))).alias("p", "node")).select("rule_code", F.array("p").alias("position"), "node")
-    out = None
-    for n in range(depth + 1):
-        part = level.select("rule_code", "position", F.lit(n + 1).alias("level"), "node.id", "node.type", "node.title", "node.text", F.coalesce("node.is_searchable", F.lit(True)).alias("is_searchable"))
-        out = part if out is None else out.unionByName(part)
-        if n < depth:
-            level = level.select("rule_code", "position", F.posexplode("node.children").alias("p", "node")).select("rule_code", F.concat("position", F.array("p")).alias("position"), "node")
-    return out
+    out, n = None, 1
+    while True:
+        part = level.select("rule_code", "position", F.lit(n).alias("level"), "node.id", "node.type", "node.title", "node.text", F.coalesce("node.is_searchable", F.lit(True)).alias("is_searchable"))
+        out, n = part if out is None else out.unionByName(part), n + 1
+        children = F.col("node.children")
+        if isinstance(level.schema["node"].dataType["children"].dataType, T.StringType):
+            level = level.where(F.length(children) > 2)
+            if level.isEmpty():
+                return out
+            children = F.from_json(children, T.ArrayType(node_schema(depth)))
+        level = level.select("rule_code", "position", F.posexplode(children).alias("p", "node")).select("rule_code", F.concat("position", F.array("p")).alias("position"), "node")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str = FEEDBACK) -> DataFrame:

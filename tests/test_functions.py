@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import stats
@@ -105,3 +106,33 @@ def test_json_lines_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     store = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert sorted(tuple(r) for r in tables.upsert(store, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_trees_and_documents_of_any_depth(spark, tmp_path):
+    import json
+
+    from lexmill.operators import tree
+    from lexmill.sources import tables
+
+    chain = spark.createDataFrame([(1, i, i - 1 if i else None, f"n{i}") for i in range(14)], "doc_id long, node_id long, parent_id long, label string")
+    assert tree.depth(chain).first().depth == 14
+    with pytest.raises(ValueError):
+        tree.paths(chain, 5)
+    node = {"id": "n11", "title": "t"}
+    for i in range(10, -1, -1):
+        node = {"id": f"n{i}", "title": "t", "children": [node, {"id": f"side{i}"}]}
+    (tmp_path / "deep.json").write_text(json.dumps({"docs": [{"id": "R1", "title": "x", "content": [node]}]}))
+    rows = tables.flatten_nodes(tables.read_documents(spark, str(tmp_path / "deep.json"))).collect()
+    assert {r.id for r in rows} == {f"n{i}" for i in range(12)} | {f"side{i}" for i in range(11)}
+    assert max(r.level for r in rows) == 12
+
+
+def test_vector_queries_in_blocks(spark, monkeypatch):
+    from lexmill.operators import ranking
+
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    queries = vectors.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "query_id")
+    whole = sorted(map(tuple, ranking.cosine_top_k(vectors, queries, 3).collect()))
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 6)
+    assert sorted(map(tuple, ranking.cosine_top_k(vectors, queries, 3).collect())) == whole
