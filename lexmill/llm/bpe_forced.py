@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,32 +43,19 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
-def unassigned() -> str:
-    """The code points that this Python has not assigned, as ranges of a character class."""
-    ranges, start = [], None
-    for code in range(sys.maxunicode + 2):
-        out = code <= sys.maxunicode and unicodedata.category(chr(code)) == "Cn"
-        if out and start is None:
-            start = code
-        elif not out and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{code - 1:08x}")
-            start = None
-    return "".join(ranges)
-
-
 class ForcedBoundaryBPE:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
-        import re
-
         import regex
         import tokenizers
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.library = tokenizers.Tokenizer.from_file(path)
-        self.new = re.compile(f"[{unassigned()}]")
+        #: characters met so far that this Python has assigned, and that it has not
+        self.assigned: set[str] = set()
+        self.new: set[str] = set()
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
@@ -177,7 +163,7 @@ class ForcedBoundaryBPE:
         """Of normalised runs without white space: packed ids, and the decoded text in UTF-8."""
         pieces, counts = [], []
         for run in runs:
-            if not run.isascii() and self.new.search(run):
+            if self.new and self.is_new(run):
                 found = [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(run)]
             else:
                 found = [piece.encode() for piece in ([run] if run.isalpha() else self.pieces.findall(run))]
@@ -193,10 +179,21 @@ class ForcedBoundaryBPE:
             start = end
         return out
 
+    def is_new(self, text: str) -> bool:
+        """Whether a text holds a code point that this Python has not assigned; Latin-1 has none."""
+        try:
+            text.encode("latin-1")
+            return False
+        except UnicodeEncodeError:
+            signs = set(text)
+        for sign in signs.difference(self.assigned):
+            (self.new if unicodedata.category(sign) == "Cn" else self.assigned).add(sign)
+        return not self.new.isdisjoint(signs)
+
     def runs(self, text: str) -> list[str]:
         """The normalised runs of a text that holds no special token."""
         if not text.isascii():
-            if self.new.search(text):
+            if self.is_new(text):
                 return [r for r in self.blank.split(self.library.normalizer.normalize_str(text)) if r]
             text = unicodedata.normalize("NFC", text)
         # each character is lower-cased by itself; str.lower() looks around a capital sigma
