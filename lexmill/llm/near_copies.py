@@ -12,7 +12,6 @@ first pass, and a second pass takes all pairs between the classes that are still
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,8 @@ from lexmill.llm.simhash_vptree import BLOCK, CELL, FACING, FEWEST, HOME, MOST,
 WORDS, BANDS, WITHIN, RADIUS = 3, 12, 1, 30
 #: Candidates of a set in a shard from which on the first pass takes only the lowest and the nearest.
 CROWD, LOWEST, NEAREST = 32, 2, 4
+#: Keys of 8 bytes that may be sent to all tasks; more are joined by a shuffle.
+MOST_SENT = 1_000_000
 MASKS = [bands(4)[b % 4] for b in range(BANDS)]
 
 
@@ -41,8 +42,8 @@ def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
     ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32).tolist()
     starts = [0, *(e + 1 for e in ends)]
     ends.append(len(data))
-    digest, width = xxhash.xxh64_intdigest, min(width, len(words))
-    return np.unique(np.array([digest(data[s:e], seed) for s, e in zip(starts, ends[width - 1 :])], np.uint64))
+    digest, width = xxhash.xxh64_digest, min(width, len(words))
+    return np.unique(np.frombuffer(b"".join([digest(data[s:e], seed) for s, e in zip(starts, ends[width - 1 :])]), ">u8").astype(np.uint64))
 
 
 def wide_simhash(hashes: np.ndarray) -> np.ndarray:
@@ -168,8 +169,14 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(shared >= F.lit(least) * (F.size("u_set") + F.size("v_set") - shared) - 1e-9).select("u", "v")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, text_col: str, least: float) -> DataFrame:
-    """Links (u, v) that join what all pairs (u, v, d) alike to ``least`` join."""
+def among(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is in ``chosen`` (key; written, so that counting it is cheap): few of them go to the rows."""
+    few = chosen.count() <= MOST_SENT
+    return rows.join(F.broadcast(chosen) if few else chosen, key, "left_semi")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, text_col: str, least: float, known: DataFrame | None = None) -> DataFrame:
+    """(node, root): the classes that all pairs (u, v, d) alike to ``least`` make of the classes ``known``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,26 +184,28 @@ def linked(pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, tex
             yield pa.RecordBatch.from_arrays([pa.array([np.uint64(node_of(s)).astype(np.int64) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "hashes"])
 
     named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = marked.join(named, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest")).select("digest").distinct()
-    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest")).join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+    wanted = cut_lineage(marked.join(named, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest")).select("digest").distinct())
+    texts = among(docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest")), wanted, "digest").dropDuplicates(["digest"])
     sets = cut_lineage(texts.select("text").mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]))
-    links, left = [], pairs
+    label, left = known, pairs
     for turn in range(3):
         asked = left
         if turn < 2:
             ends = left.select(F.col("u").alias("node"), F.struct("d", "u", "v").alias("pair")).unionByName(left.select(F.col("v").alias("node"), F.struct("d", "u", "v").alias("pair")))
             asked = ends.groupBy("node").agg(F.min("pair").alias("pair")).select("pair.u", "pair.v").distinct()
         asked = cut_lineage(asked.select("u", "v"))
-        links.append(cut_lineage(alike(asked, sets, least)))
+        needed = sets if turn == 0 else among(sets, asked.select(F.explode(F.array("u", "v")).alias("node")), "node")
+        links = cut_lineage(alike(asked, needed, least))
+        # the classes so far are stars, which settle at once
+        label = components(links.unionByName(label.select(F.col("node").alias("u"), F.col("root").alias("v"))) if label else links)
         if turn < 2:
-            label = components(reduce(DataFrame.unionByName, links))
             one, two = (label.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv")
             apart = F.coalesce("u_root", "u") != F.coalesce("v_root", "v")
             left = left.join(asked, ["u", "v"], "left_anti").join(one, "u", "left").join(two, "v", "left").where(apart).select("u", "v", "d")
             left = cut_lineage(left)
             if left.isEmpty():
                 break
-    return reduce(DataFrame.unionByName, links)
+    return label
 
 
 def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,14 +218,13 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
     words = [f"w{w}" for w in range(WORDS)]
     nodes = cut_lineage(marked.groupBy("node").agg(*(F.first(w).alias(w) for w in words)).withColumn("label", F.col("node")))
     found = cut_lineage(candidates(nodes, CROWD).groupBy("u", "v").agg(F.min("d").alias("d")))
-    links = linked(found.where("u <> v"), docs, marked, width, text_col, least)
-    label = components(links)
+    label = linked(found.where("u <> v"), docs, marked, width, text_col, least)
     if not found.where("u = v").isEmpty():
         # crowds gave only a few of their candidates: now all pairs between classes
         known = nodes.drop("label").join(label.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
         more = cut_lineage(candidates(known, None).groupBy("u", "v").agg(F.min("d").alias("d")).join(found.select("u", "v"), ["u", "v"], "left_anti"))
         if not more.isEmpty():
-            label = components(links.unionByName(linked(more, docs, marked, width, text_col, least)))
+            label = linked(more, docs, marked, width, text_col, least, label)
     rooted = marked.select("doc_id", "digest", "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(smallest, "root").select("doc_id", "digest", F.col("root").alias("component"), "component_id")
