@@ -38,10 +38,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts alike to 0.8 in shingles of five words: the smallest by id, null ids last, then digest of the text."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("of"))
-    firsts = near_copies(docs, width=5, least=0.8).groupBy("component").agg(F.min(order).alias("first")).select("first.id", "first.of")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("of"))
-    rows = docs.join(firsts, same, "left_semi").withColumn("__of", F.xxhash64("text"))
-    return rows.dropDuplicates(["doc_id", "__of"]).select(*docs.columns)
+    firsts = near_copies(docs, width=5, least=0.8).groupBy("component").agg(F.min(order).alias("first"))
+    # both sides name a row alike, without nulls, so that the join and the removal of repeated rows share one shuffle
+    named = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__of": F.xxhash64("text")}
+    wanted = firsts.select(F.col("first.none").alias("__none"), F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("__id"), F.col("first.of").alias("__of"))
+    rows = docs.withColumns(named).join(wanted, [*named], "left_semi")
+    return rows.dropDuplicates([*named]).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
