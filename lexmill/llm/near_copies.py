@@ -6,7 +6,9 @@ whose shingles are alike to ``least`` are linked, so no link is false; a pair th
 
 Candidates in the same class need no comparison: each set is compared with its nearest candidate first, twice, and then all
 pairs between different classes. Where a set has more than ``CROWD`` candidates in a shard, a few of them are taken in the
-first pass, and a second pass takes all pairs between the classes that are still apart, so that nothing is left out.
+first pass, and a second pass takes all pairs between the classes that are still apart, so that nothing is left out. There
+the shingles of the crowds travel to the shards, which compare them in place and return links alone: what leaves a shard
+grows with its sets and not with its pairs. Sets of more than ``LONG`` shingles are too large to travel and go as pairs.
 """
 
 from __future__ import annotations
@@ -19,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut_lineage, power_of_two
-from lexmill.llm.components import components
+from lexmill.llm.components import LocalForest, components
 from lexmill.llm.simhash_vptree import BLOCK, CELL, FACING, FEWEST, HOME, MOST, SAMPLE_PER_SHARD, SHARD, VISITOR, VantageTree, bands, distance
 
 #: Words of a fingerprint, bands of 16 bits, bits that may differ in a band and in two words.
 WORDS, BANDS, WITHIN, RADIUS = 3, 12, 1, 30
 #: Candidates of a set in a shard from which on the first pass takes only the lowest and the nearest.
-CROWD, LOWEST, NEAREST = 32, 2, 4
+CROWD, LOWEST, NEAREST = 6, 1, 2
+#: Shingles from which on a set of a crowd is also compared by pairs; those that travel have a quarter more at most, since sets
+#: alike to 0.8 or more differ no more than that in size.
+LONG = 2048
 #: Keys of 8 bytes that may be sent to all tasks; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 MASKS = [bands(4)[b % 4] for b in range(BANDS)]
@@ -84,10 +89,32 @@ def fingerprints(docs: DataFrame, width: int, id_col: str, text_col: str) -> Dat
     return rows.mapInArrow(run, f"doc_id {kind}, digest long, node long, " + ", ".join(f"w{w} long" for w in range(WORDS)))
 
 
-def candidates(nodes: DataFrame, crowd: int | None, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def partners(sets: pa.Array, least: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of positions (a sorted, b) have sets that are alike to ``least``; each list of ``sets`` is sorted."""
+    flat, ends = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+    sizes, out = np.diff(ends), np.zeros(len(a), bool)
+    firsts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+    for start, stop in zip(firsts, [*firsts[1:], len(a)]):
+        own, them = flat[ends[a[start]] : ends[a[start] + 1]], b[start:stop]
+        if not len(own):
+            continue
+        for at in range(0, len(them), 512):
+            some = them[at : at + 512]
+            held = np.concatenate([flat[ends[j] : ends[j + 1]] for j in some])
+            place = np.minimum(np.searchsorted(own, held), len(own) - 1)
+            total = np.concatenate([[0], np.cumsum(own[place] == held)])
+            upto = np.concatenate([[0], np.cumsum(sizes[some])])
+            shared = total[upto[1:]] - total[upto[:-1]]
+            out[start + at : start + at + len(some)] = shared >= least * (len(own) + sizes[some] - shared) - 1e-9
+    return out
+
+
+def candidates(nodes: DataFrame, crowd: int | None, shard: int = SHARD, block: int = BLOCK, least: float | None = None) -> DataFrame:
     """(u, v, d): pairs u < v of ``nodes`` (node, w0, w1, w2, label) with different labels; a pair can come more than once.
 
-    With ``crowd``, a node with more candidates than that in a shard gives a few, and a row with u = v says so.
+    With ``crowd``, a node with more candidates than that in a shard gives a few, and rows with u = v name it and all its
+    candidates there. With ``least``, ``nodes`` have their sorted ``hashes``, and only pairs alike to that are returned, of them
+    as many as join what all join.
     """
     spark, n = nodes.sparkSession, nodes.count()
     shards = power_of_two(n / shard, FEWEST, MOST)
@@ -98,7 +125,7 @@ def candidates(nodes: DataFrame, crowd: int | None, shard: int = SHARD, block: i
     trees = [VantageTree(sample[b // 4] & mask, 1, shards.bit_length() - 1, seed=b) for b, mask in enumerate(MASKS)]
     blocks = [[max(1, -(-int(w / share) // block)) for w in t.weights] for t in trees]
     shared = spark.sparkContext.broadcast((trees, blocks))
-    names = [*CELL, "node", "mine", "next", "label", "role"]
+    names = [*CELL, "node", "mine", "next", "label", "role"] + ["hashes"] * (least is not None)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, blocks = shared.value
@@ -121,7 +148,8 @@ def candidates(nodes: DataFrame, crowd: int | None, shard: int = SHARD, block: i
                         if len(who):
                             cell = [np.full(len(who), b), np.full(len(who), leaf), i, j]
                             columns = [*(c.astype(np.int32) for c in cell), node[who], mine[who].view(np.int64), after[who].view(np.int64), label[who], np.full(len(who), role, np.int8)]
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                            sets = [batch.column("hashes").take(pa.array(who))] if least is not None else []
+                            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), *sets], names)
 
     def compare(cell: pa.Table) -> pa.Table:
         mask = MASKS[cell.column("band")[0].as_py()]
@@ -131,7 +159,9 @@ def candidates(nodes: DataFrame, crowd: int | None, shard: int = SHARD, block: i
         homes, visitors = order[role[order] != VISITOR], order[role[order] == VISITOR]
         asking = order if (role == HOME).any() else visitors
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        crowded = False
+        crowded: list[np.ndarray] = []
+        forest = LocalForest(len(node)) if least is not None else None
+        sets = cell.column("hashes").combine_chunks() if least is not None else None
         if len(homes) and len(asking):
             tree = VantageTree(mine[homes] & mask, 512, 24)
             inside = dict(tree.reach(mine[homes] & mask, 0))
@@ -144,8 +174,16 @@ def candidates(nodes: DataFrame, crowd: int | None, shard: int = SHARD, block: i
                     here = asking[rows[at : at + step]]
                     bits = distance(mine[here][:, None], mine[there][None, :]) + distance(after[here][:, None], after[there][None, :])
                     hits = (bits <= RADIUS) & (label[here][:, None] != label[there][None, :])
+                    if forest:
+                        hits &= forest.root[here][:, None] != forest.root[there][None, :]
+                        a, b = np.nonzero(hits)
+                        good = partners(sets, least, here[a], there[b])
+                        a, b = here[a[good]], there[b[good]]
+                        forest.link(a, b)
+                        continue
                     if crowd is not None and (over := np.flatnonzero(hits.sum(1) > crowd)).size:
-                        crowded, full = True, hits[over]
+                        full = hits[over]
+                        crowded += [node[here[over]], node[there[full.any(0)]]]
                         near = np.argpartition(np.where(full, bits[over], 255), NEAREST, axis=1)[:, :NEAREST]
                         few = full & (np.cumsum(full, axis=1, dtype=np.int32) <= LOWEST)
                         np.put_along_axis(few, near, True, axis=1)
@@ -153,11 +191,15 @@ def candidates(nodes: DataFrame, crowd: int | None, shard: int = SHARD, block: i
                     a, b = np.nonzero(hits)
                     found.append((node[here[a]], node[there[b]], bits[a, b]))
         if crowded:
-            found.append((np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint8)))
+            named = np.unique(np.concatenate(crowded))
+            found.append((named, named, np.zeros(len(named), np.uint8)))
+        if forest:
+            moved = np.flatnonzero(forest.root != np.arange(len(node)))
+            found.append((node[moved], node[forest.root[moved]], np.zeros(len(moved), np.uint8)))
         a, b, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
         return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b), "d": d.astype(np.int16)})
 
-    routed = nodes.mapInArrow(route, "band int, leaf int, i int, j int, node long, mine long, next long, label long, role byte")
+    routed = nodes.mapInArrow(route, "band int, leaf int, i int, j int, node long, mine long, next long, label long, role byte" + ", hashes array<long>" * (least is not None))
     return routed.groupBy(*CELL).applyInArrow(compare, "u long, v long, d short")
 
 
@@ -175,18 +217,30 @@ def among(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(chosen) if few else chosen, key, "left_semi")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, text_col: str, least: float, known: DataFrame | None = None) -> DataFrame:
-    """(node, root): the classes that all pairs (u, v, d) alike to ``least`` make of the classes ``known``."""
+def sets_of(named: DataFrame, docs: DataFrame, marked: DataFrame, width: int, text_col: str) -> DataFrame:
+    """(node, hashes): the sorted shingles of the nodes ``named``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([np.uint64(node_of(s)).astype(np.int64) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "hashes"])
+            sets = [np.sort(shingles(t.as_py(), width).view(np.int64)) for t in batch.column(0)]
+            nodes = [np.uint64(node_of(np.sort(s.view(np.uint64)))).astype(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
-    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     wanted = cut_lineage(marked.join(named, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest")).select("digest").distinct())
     texts = among(docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest")), wanted, "digest").dropDuplicates(["digest"])
-    sets = cut_lineage(texts.select("text").mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]))
+    return cut_lineage(texts.select("text").mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]))
+
+
+def stars(classes: DataFrame) -> DataFrame:
+    return classes.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
+def linked(pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, text_col: str, least: float, known: DataFrame | None = None) -> DataFrame:
+    """(node, root): the classes that all pairs (u, v, d, later) alike to ``least`` make of the classes ``known``.
+
+    Pairs that are compared ``later`` serve the first turn alone.
+    """
+    sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, marked, width, text_col)
     label, left = known, pairs
     for turn in range(3):
         asked = left
@@ -197,10 +251,11 @@ def linked(pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, tex
         needed = sets if turn == 0 else among(sets, asked.select(F.explode(F.array("u", "v")).alias("node")), "node")
         links = cut_lineage(alike(asked, needed, least))
         # the classes so far are stars, which settle at once
-        label = components(links.unionByName(label.select(F.col("node").alias("u"), F.col("root").alias("v"))) if label else links)
+        label = components(links.unionByName(stars(label)) if label else links)
         if turn < 2:
             one, two = (label.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv")
             apart = F.coalesce("u_root", "u") != F.coalesce("v_root", "v")
+            left = left.where("NOT later") if turn == 0 else left
             left = left.join(asked, ["u", "v"], "left_anti").join(one, "u", "left").join(two, "v", "left").where(apart).select("u", "v", "d")
             left = cut_lineage(left)
             if left.isEmpty():
@@ -218,11 +273,19 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
     words = [f"w{w}" for w in range(WORDS)]
     nodes = cut_lineage(marked.groupBy("node").agg(*(F.first(w).alias(w) for w in words)).withColumn("label", F.col("node")))
     found = cut_lineage(candidates(nodes, CROWD).groupBy("u", "v").agg(F.min("d").alias("d")))
-    label = linked(found.where("u <> v"), docs, marked, width, text_col, least)
-    if not found.where("u = v").isEmpty():
-        # crowds gave only a few of their candidates: now all pairs between classes
-        known = nodes.drop("label").join(label.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        more = cut_lineage(candidates(known, None).groupBy("u", "v").agg(F.min("d").alias("d")).join(found.select("u", "v"), ["u", "v"], "left_anti"))
+    crowds = cut_lineage(found.where("u = v").select(F.col("u").alias("node")))
+    one, two = (crowds.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_crowd")) for c in "uv")
+    later = F.coalesce(F.col("u_crowd") & F.col("v_crowd"), F.lit(False)).alias("later")
+    pairs = found.where("u <> v").join(one, "u", "left").join(two, "v", "left").select("u", "v", "d", later)
+    label = linked(cut_lineage(pairs), docs, marked, width, text_col, least)
+    if not crowds.isEmpty():
+        # crowds gave only a few of their candidates: now all pairs of theirs between classes
+        known = nodes.drop("label").join(crowds, "node", "left_semi").join(label.select("node", F.col("root").alias("label")), "node", "left")
+        known = known.withColumn("label", F.coalesce("label", "node")).join(sets_of(crowds, docs, marked, width, text_col), "node")
+        known = cut_lineage(known)
+        short = cut_lineage(candidates(known.where(F.size("hashes") <= LONG * 5 // 4), None, least=least).select("u", "v").distinct())
+        label = components(short.unionByName(stars(label)))
+        more = cut_lineage(candidates(known.where(F.size("hashes") >= LONG).drop("hashes"), None).groupBy("u", "v").agg(F.min("d").alias("d")).withColumn("later", F.lit(False)))
         if not more.isEmpty():
             label = linked(more, docs, marked, width, text_col, least, label)
     rooted = marked.select("doc_id", "digest", "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
