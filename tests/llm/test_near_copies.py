@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm import near_copies
@@ -44,13 +45,16 @@ def test_stage_takes_five_words_and_eight_tenths(spark):
     assert kept == set(found.values())
 
 
-def test_crowds_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("long", [2048, 100])
+def test_crowds_lose_no_link(spark, monkeypatch, long):
+    """Compared in their shards, or as pairs where sets are too long to travel."""
     pick = random.Random(12)
     words = [f"w{i}" for i in range(300)]
     rows = [(i, edited(words, 1 + i % 9, pick)) for i in range(150)]
     rows += [(200 + i, edited(words[:150] + [f"x{k}" for k in range(150)], 1 + i % 9, pick)) for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(near_copies, "CROWD", 5)
+    monkeypatch.setattr(near_copies, "LONG", long)
     few, want, _ = kept_and_wanted(rows, near_copies.near_copies(docs).collect())
     assert all(want[i] == want[c] for i, c in few.items())
     assert few == want
