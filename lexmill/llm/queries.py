@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat_format, source_mix
+from lexmill.llm import chat_format, phrase_automata, source_mix
 from lexmill.llm.common import remainder_of_id, table
 
 
@@ -79,6 +79,13 @@ def op8_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op12_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.phrase_automata import remove_passages
+
+    found = remove_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_vptree": op1_simhash_vptree,
     "op2_bpe_forced": op2_bpe_forced,
@@ -90,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_parts": op10_chat_parts,
     "op7_token_trie": op7_token_trie,
     "op8_page_diff": op8_page_diff,
+    "op12_phrase_automata": op12_phrase_automata,
 }
 
 #: Vectors of one label by brute force, and the components of their links.
@@ -107,4 +115,5 @@ ORACLES: dict[str, str] = {
     "op3_source_mix": source_mix.ORACLE_SQL,
     "op9_pivot_index": PIVOT_ORACLE,
     "op10_chat_parts": chat_format.ORACLE_SQL,
+    "op12_phrase_automata": phrase_automata.ORACLE_SQL,
 }
