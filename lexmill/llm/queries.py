@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat_format, phrase_automata, source_mix
+from lexmill.llm import chat_format, phrase_automata, prefix_trie, source_mix
 from lexmill.llm.common import remainder_of_id, table
 
 
@@ -79,6 +79,12 @@ def op8_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.prefix_trie import prefix_trie, shared_starts
+
+    return prefix_trie(shared_starts(table(spark, sf_dir, "conversations")))
+
+
 def op12_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.phrase_automata import remove_passages
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_trie": op7_token_trie,
     "op8_page_diff": op8_page_diff,
     "op12_phrase_automata": op12_phrase_automata,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: Vectors of one label by brute force, and the components of their links.
@@ -116,4 +123,5 @@ ORACLES: dict[str, str] = {
     "op9_pivot_index": PIVOT_ORACLE,
     "op10_chat_parts": chat_format.ORACLE_SQL,
     "op12_phrase_automata": phrase_automata.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
