@@ -85,6 +85,12 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(shared_starts(table(spark, sf_dir, "conversations")))
 
 
+def op11_gallop_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.token_alignment import link_strength
+
+    return link_strength(table(spark, sf_dir, "documents"))
+
+
 def op12_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.phrase_automata import remove_passages
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_parts": op10_chat_parts,
     "op7_token_trie": op7_token_trie,
     "op8_page_diff": op8_page_diff,
+    "op11_gallop_align": op11_gallop_align,
     "op12_phrase_automata": op12_phrase_automata,
     "op13_prefix_trie": op13_prefix_trie,
 }
