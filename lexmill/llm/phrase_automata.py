@@ -86,7 +86,7 @@ def _segment_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
-            rows, waiting = [], 0
+            waiting = 0
             for row, text in enumerate(batch.column("text")):
                 found = words_of(text.as_py())
                 if len(found) < width:
@@ -94,7 +94,6 @@ def _segment_rows(width: int):
                 values = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
                 at, n, anchor = segments_of(values, width)
                 out.append((np.full(len(at), row), anchor.view(np.int64), run_hashes(values, at, at + n + width - 1).view(np.int64), at, n))
-                rows.append(row)
                 waiting += len(found) * 8
                 if waiting > BLOCK_BYTES:
                     yield _packed(batch, out)
@@ -262,7 +261,8 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id
     known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
     segments = known.mapInArrow(_segment_rows(width), _SEGMENT.format(kind=kind))
     recurring = segments.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    of = segments.join(recurring, "anchor")
+    # three steps read these; without the cut each would hash all texts again
+    of = cut_lineage(segments.join(recurring, "anchor"))
     first = of.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"))
     crowd = first.groupBy("anchor").agg((F.count("*") > shard).alias("split"))
     placed = cut_lineage(of.join(first, ["anchor", "segment"]).join(crowd, "anchor").select("doc_id", "text_key", "anchor", "at", "n", "first", "split"))
