@@ -30,6 +30,8 @@ from lexmill.llm.common import cut_lineage
 
 #: Members of the largest nodes of class 0, messages of a queue in memory, sorted runs that a queue reads at a time.
 LIGHT, QUEUE, RUNS = 4096, 200_000, 64
+#: Nodes of many members that are broadcast: so many at most (4 MB), each with so many members at least.
+MOST_SHARED, LEAST_SHARED = 100_000, 500
 NAME = ["depth", "k1", "k2"]
 _NODE = "depth long, k1 long, k2 long, parent1 long, parent2 long, parent_kind int, root boolean, conv_id long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long"
 
@@ -189,7 +191,12 @@ def prefix_trie(turns: DataFrame, light: int = LIGHT, queue: int = QUEUE) -> Dat
     counts = rows.groupBy(*NAME).agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("least"))
     exceeds = [F.when(F.col("n_convs") > light ** (i + 1), 1).otherwise(0) for i in range(6) if light ** (i + 1) < 1 << 62]
     path = Window.partitionBy("conv_id").orderBy("depth")
-    known = rows.join(counts, NAME).withColumn("kind", sum(exceeds, F.lit(0)))
+    counts = cut_lineage(counts)
+    total = counts.agg(F.sum("n_convs")).first()[0] or 0
+    # nodes with more rows than that are MOST_SHARED at most, since their rows add up: they meet the rows as a broadcast
+    shared = F.col("n_convs") > max(LEAST_SHARED, total // MOST_SHARED)
+    large = F.broadcast(counts.where(shared))
+    known = rows.join(large, NAME).unionByName(rows.join(large.select(*NAME), NAME, "left_anti").join(counts.where(~shared), NAME)).withColumn("kind", sum(exceeds, F.lit(0)))
     linked = known.select("*", F.lag("k1").over(path).alias("parent1"), F.lag("k2").over(path).alias("parent2"), F.lag("least").over(path).alias("parent_conv_id"))
     same = Window.partitionBy("conv_id", "kind").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = linked.withColumns({"head": F.first(F.struct(*NAME)).over(same), "parent_kind": F.lag("kind").over(path)})

@@ -4,6 +4,7 @@ import zlib
 
 import pytest
 
+from lexmill.llm import prefix_trie as module
 from lexmill.llm.prefix_trie import SpillingQueue, prefix_trie, shared_starts
 
 SCHEMA = "conv_id long, turn long, role string, text string, depth int, k1 string"
@@ -51,7 +52,8 @@ def odd_rows(convs=70, seed=5):
 
 
 @pytest.mark.parametrize("light, queue", [(4096, 200_000), (2, 3), (5, 1)])
-def test_equals_the_definition(spark, light, queue):
+def test_equals_the_definition(spark, light, queue, monkeypatch):
+    monkeypatch.setattr(module, "LEAST_SHARED", light)
     docs = spark.createDataFrame([(*r, 1, "x") for r in odd_rows()], SCHEMA).repartition(3)
     found = prefix_trie(shared_starts(docs), light=light, queue=queue)
     assert found.columns == COLUMNS
