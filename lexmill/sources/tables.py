@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +57,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back. Only a local session may name none; it gets a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        told = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not told and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(told or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
+
+
 def read_documents(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
     """One row per document of document JSON files: index pages and documents without a code are skipped."""
     docs = spark.read.schema(document_schema(depth)).option("multiLine", True).json(path).select(F.inline("docs"))
