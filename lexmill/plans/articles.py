@@ -1,6 +1,6 @@
 """Queries over documents read as regulations: each line that is not blank is an article, framed by its number.
 
-``ARTICLES`` and ``articles`` derive the same rows from ``documents``, one for each such line: doc_id, its number i, title, head
+``ARTICLES`` and ``articles`` derive the same rows from ``documents``, one for each such line: doc_id, its number i, title (the whole line), head
 (a heading on three lines of four) and body (paragraphs, amendment notes, references and a date from which it is in force).
 """
 
@@ -15,23 +15,23 @@ from lexmill.plans.registry import query
 from lexmill.sources.tables import table
 
 ARTICLES = """WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-t AS (SELECT doc_id, lang, i, trim(line) AS line, trim(left(trim(line), 12)) AS title FROM l WHERE trim(line) <> ''),
+t AS (SELECT doc_id, lang, i, trim(line) AS line, trim(line) AS title FROM l WHERE trim(line) <> ''),
 n AS (SELECT doc_id, lang, i, title, line,
   CASE i % 4 WHEN 0 THEN '제 ' || i || ' 장  ' || title WHEN 1 THEN '제' || i || '절 ' || title WHEN 2 THEN '제' || i || '관 ' || title ELSE title END AS head,
-  title || '의 위원장은 ' || left(line, 60) || ' ① 교원과 학생의 등록금 심의 (개정 ' || (2000 + i % 20) || '. ' || (i % 12 + 1) || '. ' || (i % 28 + 1) || '.) ② 제' || i || '조제' || (i % 3 + 1) || '항의 규정 (신설 '
+  title || '의 위원장은 ' || line || ' ① 교원과 학생의 등록금 심의 (개정 ' || (2000 + i % 20) || '. ' || (i % 12 + 1) || '. ' || (i % 28 + 1) || '.) ② 제' || i || '조제' || (i % 3 + 1) || '항의 규정 (신설 '
   || (1990 + doc_id % 9) || '.3.2) [본조신설 ' || (1990 + doc_id % 9) || '.03.02.] ' || CASE WHEN i % 3 = 0 THEN '이 규정은 ' || (2001 + doc_id % 20) || '년 ' || (i % 12 + 1) || '월 ' || (i % 28 + 1) || '일부터 시행한다' ELSE '' END AS body FROM t)
 """
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    rows = docs.select("doc_id", "lang", (F.col("at") + 1).alias("i"), F.trim("line").alias("line")).where("line <> ''").withColumn("title", F.trim(F.substring("line", 1, 12)))
+    rows = docs.select("doc_id", "lang", (F.col("at") + 1).alias("i"), F.trim("line").alias("line")).where("line <> ''").withColumn("title", F.col("line"))
     i, doc = F.col("i"), F.col("doc_id")
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     head = F.when(i % 4 == 0, text("제 ", i, " 장  ", F.col("title"))).when(i % 4 == 1, text("제", i, "절 ", F.col("title"))).when(i % 4 == 2, text("제", i, "관 ", F.col("title"))).otherwise(F.col("title"))
     force = F.when(i % 3 == 0, text("이 규정은 ", 2001 + doc % 20, "년 ", i % 12 + 1, "월 ", i % 28 + 1, "일부터 시행한다")).otherwise("")
     body = text(
-        F.col("title"), "의 위원장은 ", F.substring("line", 1, 60), " ① 교원과 학생의 등록금 심의 (개정 ", 2000 + i % 20, ". ", i % 12 + 1, ". ", i % 28 + 1, ".) ② 제", i, "조제", i % 3 + 1, "항의 규정 (신설 ",
+        F.col("title"), "의 위원장은 ", F.col("line"), " ① 교원과 학생의 등록금 심의 (개정 ", 2000 + i % 20, ". ", i % 12 + 1, ". ", i % 28 + 1, ".) ② 제", i, "조제", i % 3 + 1, "항의 규정 (신설 ",
         1990 + doc % 9, ".3.2) [본조신설 ", 1990 + doc % 9, ".03.02.] ", force,
     )
     return rows.select("doc_id", "lang", "i", "title", "line", head.alias("head"), body.alias("body"))
@@ -79,13 +79,13 @@ _LABEL = "coalesce(nullif(trim(regexp_extract(body, '^(.{1,30}?)(?:은|는|이
 
 
 @query(ARTICLES + f"""SELECT doc_id, i, '제' || i || '조 ' || {_LABEL} AS label,
-'[' || CASE WHEN i % 4 = 3 THEN title ELSE head || ' > ' || title END || ' > 제' || i || '조 ' || {_LABEL} || '] ' || left(line, 30) AS full_text FROM n""")
+'[' || CASE WHEN i % 4 = 3 THEN title ELSE head || ' > ' || title END || ' > 제' || i || '조 ' || {_LABEL} || '] ' || line AS full_text FROM n""")
 def article_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of articles without a title, and their text behind the path of headings; a heading equal to the next one goes."""
     from lexmill.operators.tree import full_text
 
     label = a.path_label(F.concat(F.lit("제"), F.col("i").cast("string"), F.lit("조")), F.lit(""), F.col("body"))
-    return articles(spark, sf_dir).withColumn("label", label).select("doc_id", "i", "label", full_text(F.array("head", "title"), F.col("label"), F.substring("line", 1, 30)).alias("full_text"))
+    return articles(spark, sf_dir).withColumn("label", label).select("doc_id", "i", "label", full_text(F.array("head", "title"), F.col("label"), F.col("line")).alias("full_text"))
 
 
 @query(ARTICLES + """, p AS (SELECT doc_id, i, unnest(regexp_extract_all(body, '([①-⑳])([^①-⑳]*)', 1)) AS mark, trim(unnest(regexp_extract_all(body, '([①-⑳])([^①-⑳]*)', 2))) AS content, trim(regexp_extract(body, '^([^①-⑳]*)', 1)) AS preamble FROM n)
@@ -148,14 +148,14 @@ def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", known.alias("code"), kind.alias("doc_type"))
 
 
-@query(ARTICLES + """, s AS (SELECT doc_id, i, CASE i % 5 WHEN 0 THEN i || '. ' || title WHEN 1 THEN '가. ' || title WHEN 2 THEN '① ' || title WHEN 3 THEN i || ') ' || title ELSE '- ' || title END AS line FROM n WHERE i <= 20),
+@query(ARTICLES + """, s AS (SELECT doc_id, i, CASE i % 5 WHEN 0 THEN i || '. ' || title WHEN 1 THEN '가. ' || title WHEN 2 THEN '① ' || title WHEN 3 THEN i || ') ' || title ELSE '- ' || title END AS line FROM n),
 c AS (SELECT doc_id, count(*) FILTER (i % 5 = 0) AS numbers, count(*) FILTER (i % 5 = 1) AS letters, count(*) FILTER (i % 5 = 2) AS circles, count(*) FILTER (i % 5 = 3) AS brackets FROM s GROUP BY doc_id)
 SELECT *, CASE WHEN (numbers > 0)::INT + (letters > 0)::INT + (circles > 0)::INT > 1 THEN 'mixed' WHEN numbers > 0 THEN 'numeric' WHEN letters > 0 THEN 'korean' WHEN circles > 0 THEN 'circled' WHEN brackets > 0 THEN 'bracket' ELSE 'none' END AS pattern FROM c""")
 def list_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which marks the lists of a document use: counts by mark over its first twenty lines, and the pattern."""
+    """Which marks the lists of a document use: counts by mark over all of its lines, and the pattern."""
     i, title = F.col("i"), F.col("title")
     mark = F.when(i % 5 == 0, F.concat(i.cast("string"), F.lit(". "))).when(i % 5 == 1, "가. ").when(i % 5 == 2, "① ").when(i % 5 == 3, F.concat(i.cast("string"), F.lit(") "))).otherwise("- ")
-    texts = articles(spark, sf_dir).where("i <= 20").groupBy("doc_id").agg(F.array_join(F.collect_list(F.concat(mark, title)), "\n").alias("text"))
+    texts = articles(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.collect_list(F.concat(mark, title)), "\n").alias("text"))
     counts, kind = a.list_pattern(F.col("text"))
     return texts.select("doc_id", *(c.cast("long").alias(n) for c, n in zip(counts, ("numbers", "letters", "circles", "brackets"))), kind.alias("pattern"))
 
