@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As `cut_lineage`, but as Parquet, which takes less room than checkpointed rows."""
+    folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def joined_by_key(rows: DataFrame, keys: DataFrame, on: list[str], many: int = 100_000, least: int = 500) -> DataFrame:
+    """``rows`` joined with ``keys``, one row a key with the number ``__n`` of its rows, without a hot task for a frequent key.
+
+    Keys with more rows than ``least`` and a ``many``-th of all are ``many`` at most, since their rows add up: those are broadcast.
+    """
+    shared = F.col("__n") > max(least, (keys.agg(F.sum("__n")).first()[0] or 0) // many)
+    large = F.broadcast(keys.where(shared))
+    rest = rows.join(large.select(*on), on, "left_anti").join(keys.where(~shared), on)
+    return rows.join(large, on).unionByName(rest).drop("__n")
+
+
 def remainder_of_id(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``: the stated split into folds."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % parts

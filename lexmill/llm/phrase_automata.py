@@ -12,7 +12,7 @@ windows have equal anchors; consecutive windows with one anchor form a segment.
 
 Hashes only choose what is compared. A shard holds about ``SHARD`` segments; the windows of an anchor with more distinct segments
 than that are dealt to shards one by one, by their own hash. No step gathers the rows of a key in one task: counts are summed
-before they are shuffled, and joins on anchors and segments have one row a key on one side, so that adaptive execution may split the other.
+before they are shuffled, and the frequent anchors and segments meet their rows as a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut_lineage
+from lexmill.llm.common import cut_lineage, joined_by_key, stored
 
 #: Words of a window, segments in a shard, bytes of text that are hashed at a time, words whose hash a worker keeps.
 WIDTH, SHARD, BLOCK_BYTES, KEPT_WORDS = 50, 20_000, 4_000_000, 1_000_000
@@ -259,13 +259,13 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    segments = known.mapInArrow(_segment_rows(width), _SEGMENT.format(kind=kind))
-    recurring = segments.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    # three steps read these; without the cut each would hash all texts again
-    of = cut_lineage(segments.join(recurring, "anchor"))
-    first = of.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"))
+    # several steps read these; without the cuts each would hash all texts again
+    segments = stored(known.mapInArrow(_segment_rows(width), _SEGMENT.format(kind=kind)))
+    recurring = segments.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("__n")).where("a < b").select("anchor", "__n")
+    of = cut_lineage(joined_by_key(segments, cut_lineage(recurring), ["anchor"]))
+    first = cut_lineage(of.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"), F.count("*").alias("__n")))
     crowd = first.groupBy("anchor").agg((F.count("*") > shard).alias("split"))
-    placed = cut_lineage(of.join(first, ["anchor", "segment"]).join(crowd, "anchor").select("doc_id", "text_key", "anchor", "at", "n", "first", "split"))
+    placed = cut_lineage(joined_by_key(of, first.join(crowd, "anchor"), ["anchor", "segment"]).select("doc_id", "text_key", "anchor", "at", "n", "first", "split"))
     whole = placed.where("doc_id > first").select("doc_id", "text_key", F.col("at").alias("from"), (F.col("at") + F.col("n") + (width - 1)).alias("to"))
     own = placed.where("doc_id = first")
     shards = max(1, own.agg(F.sum(F.expr("if(split, n, 1)"))).first()[0] or 0) // shard + 1
