@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import clipped, jaccard, keyword_tokens, ratio, tokens
 from lexmill.operators import ranking as R
+from lexmill.operators import search_index
 from lexmill.plans.registry import query
-from lexmill.sources.tables import spread, table
+from lexmill.sources.tables import new_folder, spread, table
 
 #: SQL pieces: tokens, and the query texts.
 TOK = "regexp_extract_all(lower(text), '[가-힣]+|[a-z0-9]+')"
@@ -39,6 +40,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {BM25_SQL} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM bm")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of bm25_topk from an index that is written first; the folder is a new one below that of the checkpoints."""
+    path = new_folder(spark, "index")
+    search_index.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), path)
+    hits = search_index.search(spark, path, asked(spark, sf_dir))
+    return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""WITH p AS (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents)
 SELECT term, count(*) AS df, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 9) AS idf FROM p, n GROUP BY term""")
 def term_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
