@@ -135,15 +135,25 @@ def improvement_over_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.where("model <> 'view'").join(F.broadcast(control)).select("model", r6(F.col("mean")).alias("mean"), F.round(share * 100, 4).alias("faster_by"), verdict.alias("verdict"))
 
 
-@query("""WITH p AS (SELECT l_orderkey, sum(l_extendedprice) FILTER (l_linenumber % 2 = 1) AS a, sum(l_extendedprice) FILTER (l_linenumber % 2 = 0) AS b FROM lineitem GROUP BY l_orderkey),
-s AS (SELECT count(*) FILTER (a > b) AS a_wins, count(*) FILTER (b > a) AS b_wins, count(*) FILTER (a = b) AS ties, avg(a) AS ma, avg(b) AS mb FROM p WHERE a IS NOT NULL AND b IS NOT NULL)
-SELECT a_wins, b_wins, ties, round(ma, 2) AS mean_a, round(mb, 2) AS mean_b, CASE WHEN mb > ma * 1.03 THEN 'B' WHEN ma > mb * 1.03 THEN 'A' ELSE 'A' END AS choice FROM s""")
+@query("""WITH p AS (SELECT l_suppkey, l_partkey % 40 AS pair, round(avg(l_discount * 10) FILTER (l_linenumber % 2 = 1), 9) AS a, round(avg(l_discount * 10) FILTER (l_linenumber % 2 = 0), 9) AS b,
+avg(l_quantity) FILTER (l_linenumber % 2 = 1) AS qa, avg(l_quantity) FILTER (l_linenumber % 2 = 0) AS qb FROM lineitem GROUP BY 1, 2),
+s AS (SELECT l_suppkey, count(*) AS total, count(*) FILTER (a > b) AS a_wins, count(*) FILTER (b > a) AS b_wins, count(*) FILTER (a = b) AS ties, avg(a) AS ma, avg(b) AS mb, avg(qa) AS la, avg(qb) AS lb FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1)
+SELECT l_suppkey, total, a_wins, b_wins, ties, round(ma, 4) AS score_a, round(mb, 4) AS score_b, round(la, 2) AS cost_a, round(lb, 2) AS cost_b,
+CASE WHEN mb > ma + 0.03 THEN 'B' WHEN ma > mb + 0.03 THEN 'A' WHEN lb < la * 0.9 THEN 'B' ELSE 'A' END AS choice FROM s""")
 def paired_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wins and ties of the two halves of each order, and which to choose: B only where its mean is higher by 3 per cent."""
-    part = lambda odd: F.sum(F.when(F.col("l_linenumber") % 2 == odd, F.col("l_extendedprice")))
-    pairs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(part(1).alias("a"), part(0).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    s = pairs.agg(F.count_if(F.expr("a > b")).alias("a_wins"), F.count_if(F.expr("b > a")).alias("b_wins"), F.count_if(F.expr("a = b")).alias("ties"), F.avg("a").alias("ma"), F.avg("b").alias("mb"))
-    return s.select("a_wins", "b_wins", "ties", F.round("ma", 2).alias("mean_a"), F.round("mb", 2).alias("mean_b"), F.when(F.col("mb") > F.col("ma") * 1.03, "B").otherwise("A").alias("choice"))
+    """Wins and ties of odd lines (A) against even ones (B) in the pairs of each supplier, and which to choose.
+
+    The one whose mean score is higher by 0.03, else B if it costs less than nine tenths, else A, the one in use.
+    """
+    part = lambda odd, value: F.avg(F.when(F.col("l_linenumber") % 2 == odd, value))
+    score = F.col("l_discount") * 10
+    halves = {"a": F.round(part(1, score), 9), "b": F.round(part(0, score), 9), "qa": part(1, F.col("l_quantity")), "qb": part(0, F.col("l_quantity"))}
+    pairs = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % 40).alias("pair")).agg(*(c.alias(n) for n, c in halves.items())).where("a IS NOT NULL AND b IS NOT NULL")
+    wins = (F.count_if(F.expr(rule)).alias(n) for n, rule in (("a_wins", "a > b"), ("b_wins", "b > a"), ("ties", "a = b")))
+    s = pairs.groupBy("l_suppkey").agg(F.count("*").alias("total"), *wins, *(F.avg(c).alias(n) for n, c in (("ma", "a"), ("mb", "b"), ("la", "qa"), ("lb", "qb"))))
+    higher = lambda x, y: F.col(x) > F.col(y) + 0.03
+    choice = F.when(higher("mb", "ma"), "B").when(higher("ma", "mb"), "A").when(F.col("lb") < F.col("la") * 0.9, "B").otherwise("A")
+    return s.select("l_suppkey", "total", "a_wins", "b_wins", "ties", *(F.round(c, d).alias(n) for n, c, d in (("score_a", "ma", 4), ("score_b", "mb", 4), ("cost_a", "la", 2), ("cost_b", "lb", 2))), choice.alias("choice"))
 
 
 @query("""SELECT source, count(*) AS total, count(*) FILTER (n_chars > 0) AS with_content, round(count(*) FILTER (n_chars > 0)::DOUBLE / count(*), 6) AS covered, round(avg(n_chars), 4) AS mean_chars, count(*) FILTER (n_chars < 200) AS low FROM documents GROUP BY ROLLUP (source)""")
