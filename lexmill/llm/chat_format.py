@@ -151,8 +151,12 @@ def format_turns(rows: DataFrame, expansion: Expansion = Expansion(), learned: t
 
 
 def in_order(turns: DataFrame) -> DataFrame:
-    """All segments of a conversation in one partition, by turn; rows with equal turns by their segments, null turns first."""
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
+    """All segments of a conversation in one partition, by turn, null turns first; equal turns by role, then text, as they were before escaping."""
+    plain = lambda c: F.regexp_replace(c, r"<\\(\\*)\|", "<$1|")
+    head = F.locate("\n", F.col("segment"))
+    role = F.substring("segment", F.lit(len(START) + 1), head - len(START) - 1)
+    text = F.substring("segment", head + 1, F.length("segment") - head - len(END + TAIL))
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", plain(role), plain(text), "segment")
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -225,8 +229,8 @@ def read_back(turns: DataFrame) -> DataFrame:
 
     def told(done: list[ReadBack], conv_type: pa.DataType) -> pa.RecordBatch:
         columns = [
-            pa.array([d.conv_id for d in done], conv_type), pa.array([d.turns for d in done], pa.int64()), pa.array([d.said.hexdigest() for d in done]),
-            pa.array([d.loss_chars for d in done], pa.int64()), pa.array([d.learned.hexdigest() for d in done]), pa.array([d.chars for d in done], pa.int64()),
+            pa.array([d.conv_id for d in done], conv_type), pa.array([d.turns for d in done], pa.int64()), pa.array([d.said.hexdigest() for d in done], pa.string()),
+            pa.array([d.loss_chars for d in done], pa.int64()), pa.array([d.learned.hexdigest() for d in done], pa.string()), pa.array([d.chars for d in done], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, names)
 
