@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import TOKEN, tokens
 from lexmill.operators.ranking import B, BROADCAST_TERMS, K1, top_k
+from lexmill.sources.tables import cut
 
 #: Postings of a block, folders of blocks, and postings of a part of the table, about.
 BLOCK, BUCKETS, POSTINGS = 128, 64, 4_000_000
@@ -105,10 +106,9 @@ def _search(spark: SparkSession, path: str, queries: DataFrame, k: int, digits:
     small = words.count() <= BROADCAST_TERMS
     near = F.broadcast if small else (lambda frame: frame)
     asked = terms.join(near(words), "term").select("query_id", "term", "idf", (F.col("idf") * F.col("best")).alias("most"), bucket_of("term").alias("bucket"), "best")
-    blocks = spark.read.schema(spark.read.parquet(f"{path}/blocks").schema).parquet(f"{path}/blocks") if not terms.isEmpty() else None
-    if blocks is None:
-        kind = "long"
-        return spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {kind}, score double, rank int"), {}
+    if terms.isEmpty():
+        return spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id long, score double, rank int"), {}
+    blocks = spark.read.parquet(f"{path}/blocks")
 
     def parts(of: DataFrame, which=None) -> DataFrame:
         """(query_id, doc_id, part of the score) of all postings of asked terms, or of the blocks that ``which`` chooses."""
@@ -121,10 +121,11 @@ def _search(spark: SparkSession, path: str, queries: DataFrame, k: int, digits:
     light = F.sum("most").over(Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # a rounded score may be as much above the sum as half a unit of its last digit, and sums of another order differ in their last bits
     slack = 10.0 ** -digits
-    ranked = asked.join(near(floor), "query_id", "left").withColumn("light", light < F.coalesce("floor", F.lit(0.0)) - slack).drop("best")
+    # the terms of the queries are few; without the cuts each use would sum the first blocks again
+    ranked = cut(asked.join(near(floor), "query_id", "left").withColumn("light", light < F.coalesce("floor", F.lit(0.0)) - slack).drop("best"))
     heavy = parts(ranked.where("NOT light").select("query_id", "term", "idf", "bucket")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
     reach = ranked.groupBy("query_id").agg(F.coalesce(F.sum(F.when(F.col("light"), F.col("most"))), F.lit(0.0)).alias("rest"), F.coalesce(F.max("floor"), F.lit(0.0)).alias("floor"))
-    candidates = heavy.join(near(reach), "query_id").where(F.col("part") + F.col("rest") >= F.col("floor") - slack).select("query_id", "doc_id", "part")
+    candidates = cut(heavy.join(near(reach), "query_id").where(F.col("part") + F.col("rest") >= F.col("floor") - slack).select("query_id", "doc_id", "part"))
     looked = parts(ranked.where("light").select("query_id", "term", "idf", "bucket")).join(candidates.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     scores = candidates.unionByName(looked).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), digits).alias("score"))
     return top_k(scores, k), {"heavy": heavy, "candidates": candidates, "looked": looked, "ranked": ranked}
