@@ -18,6 +18,7 @@ CONTENTS, INDEX = r"^(차\s*례|목\s*차)\s*$", r"^찾아보기"
 ARTICLE, FIRST_ARTICLE = r"^(제\s*(\d+)\s*조(?:의\s*(\d+))?)\s*(?:\(([^)]+)\))?\s*(.*)", r"^(제\s*1\s*조)(?!\s*의)"
 APPENDIX = r"^부\s*칙|^(?:\[\s*별\s*[표지].*?\]|<\s*별\s*[표지].*?>)"
 PARAGRAPH, ITEM, SUBITEM = r"^([①-⑮])\s*(.*)", r"^(\d+\.)\s*(.*)", r"^([가-하]\.)\s*(.*)"
+ADDENDUM, NUMBERED = r"^(제\s*\d+\s*조(?:의\s*\d+)?)\s*(?:\(([^)]+)\))?\s*(.*)", r"^(\d+\.)\s*(?:\(([^)]+)\))?\s*(.*)"
 #: Ends of lines that can be titles, and lines that no broken line is joined with.
 TITLE_ENDS = ("규정", "세칙", "지침", "요령", "강령", "내규", "학칙", "헌장", "기준", "수칙", "준칙", "요강", "운영", "정관")
 HEADER, LIST_ITEM = r"^제\s*\d+\s*조|^부\s*칙|^제\s*\d+\s*[장절편]", r"^(\d+\.|[가-하]\.|\(\d+\)|\d+\))"
@@ -177,6 +178,38 @@ def article_nodes(parsed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return kept.select(id_col, "regulation", "node", F.coalesce("__parent", "parent").alias("parent"), "kind", "display_no", "title", "text")
 
 
+def addenda_nodes(lines: DataFrame, id_col: str = "doc_id", chunk: int = scan.CHUNK) -> DataFrame:
+    """(id_col, node, parent, kind, display_no, title, text): the lines of addenda as items, paragraphs and loose texts.
+
+    A line that begins as an article or with a number opens an item. A paragraph hangs on the item before it, and is an item of its
+    own where none is open. Other lines go on with the text of the open node, behind a space, or a line break if they are a table
+    row; without an open node they make one. A node's name is the place of its line.
+    """
+    line = F.col("line")
+    kind = F.when(line.rlike(ADDENDUM), "article").when(line.rlike(NUMBERED), "number").when(line.rlike(PARAGRAPH), "paragraph").otherwise("text")
+    rows = lines.where("line <> ''").select(id_col, F.col("at").cast("long").alias("at"), kind.alias("kind"))
+    symbol = F.when(F.col("kind") == "paragraph", 1).otherwise(0)
+    known = scan.states(rows.withColumn("symbol", symbol), [id_col], "at", F.col("symbol"), [[1, 0], [1, 1]], 0, chunk)
+    opens = F.col("kind").isin("article", "number") | ((F.col("kind") == "text") & (F.col("state") == 0))
+    told = scan.carried(known, [id_col], "at", {"open": (opens, F.col("at"))}, chunk).join(lines.select(id_col, F.col("at").cast("long").alias("at"), "line"), [id_col, "at"])
+    none, at, is_ = F.lit(None).cast("string"), F.col("at"), lambda name: F.col("kind") == name
+    group = lambda pattern, i: F.regexp_extract(line, pattern, i)
+    hangs = is_("paragraph") & F.col("open").isNotNull()
+    goes_on = is_("text") & (F.col("open") != at)
+    pick = lambda article, number, paragraph, other: F.when(is_("article"), article).when(is_("number"), number).when(is_("paragraph"), paragraph).otherwise(other)
+    own = pick(group(ADDENDUM, 3), group(NUMBERED, 3), group(PARAGRAPH, 2), line)
+    pieces = told.select(
+        id_col, "at", F.when(goes_on, F.col("open")).otherwise(at).alias("node"), F.when(hangs, F.col("open")).alias("parent"), (~goes_on).alias("own"),
+        F.when(hangs, "paragraph").when(is_("text"), "text").otherwise("addendum_item").alias("type"), pick(group(ADDENDUM, 1), group(NUMBERED, 1), group(PARAGRAPH, 1), F.lit("")).alias("display_no"),
+        pick(group(ADDENDUM, 2), group(NUMBERED, 2), none, none).alias("title"), F.when(goes_on, F.concat(F.when(line.startswith("|"), "\n").otherwise(" "), line)).otherwise(own).alias("text"),
+    )
+    first = lambda c: F.max(F.when(F.col("own"), F.col(c))).alias(c)
+    rest = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("own"), F.struct("at", "text")))), lambda p: p["text"]), "")
+    nodes = pieces.groupBy(id_col, "node").agg(first("parent"), first("type"), first("display_no"), first("title"), first("text"), rest.alias("rest"))
+    text = F.when(F.col("text") == "", F.substring("rest", 2, 1 << 30)).otherwise(F.concat("text", "rest"))
+    return nodes.select(id_col, "node", "parent", F.col("type").alias("kind"), "display_no", F.coalesce("title", F.lit("")).alias("title"), text.alias("text"))
+
+
 def heading_edges(parsed: DataFrame, id_col: str = "doc_id", chunk: int = scan.CHUNK) -> DataFrame:
     """(id_col, regulation, node, kind, name, parent): chapters, sections, subsections and articles as a tree, by its edges.
 

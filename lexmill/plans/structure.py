@@ -115,3 +115,18 @@ def list_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
     texts = split.withColumn("line", F.expr(_INDENT.replace("CAST(2 *", "CAST(2L *"))).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
     return m.list_items(texts).select("doc_id", "at", "pattern", "level", "parent_at", "depth")
+
+
+@query(named(LINES + f""", k AS MATERIALIZED (SELECT doc_id, at, line, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS nth,
+CASE WHEN regexp_matches(line, '{m.ADDENDUM}') THEN 'article' WHEN regexp_matches(line, '{m.NUMBERED}') THEN 'number' WHEN regexp_matches(line, '{m.PARAGRAPH}') THEN 'paragraph' ELSE 'text' END AS kind FROM l WHERE line <> ''),
+r AS (SELECT doc_id, 0 AS nth, -1 AS at, '' AS line, '' AS kind, NULL::BIGINT AS node FROM k WHERE nth = 1
+UNION ALL SELECT k.doc_id, k.nth, k.at, k.line, k.kind, CASE WHEN k.kind IN ('article', 'number') OR k.kind = 'text' AND r.node IS NULL THEN k.at ELSE r.node END FROM r JOIN k ON k.doc_id = r.doc_id AND k.nth = r.nth + 1),
+n AS (SELECT doc_id, at, CASE WHEN kind = 'paragraph' THEN node END AS parent, CASE WHEN kind = 'paragraph' AND node IS NOT NULL THEN 'paragraph' WHEN kind = 'text' THEN 'text' ELSE 'addendum_item' END AS kind,
+CASE kind WHEN 'article' THEN regexp_extract(line, '{m.ADDENDUM}', 1) WHEN 'number' THEN regexp_extract(line, '{m.NUMBERED}', 1) WHEN 'paragraph' THEN regexp_extract(line, '{m.PARAGRAPH}', 1) ELSE '' END AS display_no,
+CASE kind WHEN 'article' THEN regexp_extract(line, '{m.ADDENDUM}', 3) WHEN 'number' THEN regexp_extract(line, '{m.NUMBERED}', 3) WHEN 'paragraph' THEN regexp_extract(line, '{m.PARAGRAPH}', 2) ELSE line END AS text FROM r WHERE nth > 0 AND NOT (kind = 'text' AND node <> at)),
+x AS (SELECT doc_id, node, string_agg(CASE WHEN line LIKE '|%' THEN chr(10) ELSE ' ' END || line, '' ORDER BY at) AS rest FROM r WHERE kind = 'text' AND node <> at GROUP BY doc_id, node)
+SELECT n.doc_id, CAST(n.at AS BIGINT) AS node, parent, kind, display_no, md5(CASE WHEN text = '' THEN coalesce(substr(rest, 2), '') ELSE text || coalesce(rest, '') END) AS digest FROM n LEFT JOIN x ON n.doc_id = x.doc_id AND n.at = x.node"""))
+def addenda_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document read as addenda: items, paragraphs below them, and the texts that they go on with."""
+    nodes = m.addenda_nodes(marked_lines(spark, sf_dir))
+    return nodes.select("doc_id", "node", "parent", "kind", "display_no", F.md5(F.col("text").cast("binary")).alias("digest"))

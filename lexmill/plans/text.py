@@ -80,27 +80,27 @@ def low_signal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", low.alias("low_signal"))
 
 
-@query(f"""WITH q AS (SELECT item_id, list_slice(list_distinct(list_filter({TOK}, lambda x: length(x) >= 6)), 1, 1000) AS t FROM benchmark),
+@query(f"""WITH q AS (SELECT item_id, list_filter({TOK}, lambda x: length(x) >= 2) AS t FROM benchmark),
 w AS (SELECT DISTINCT item_id, unnest(t) AS term FROM q), d AS (SELECT DISTINCT doc_id, lang, unnest({TOK}) AS term FROM documents),
 h AS (SELECT item_id, doc_id, count(*) AS hits FROM w JOIN d USING (term) GROUP BY ALL)
 SELECT item_id, count(*) FILTER (hits >= 3) AS relevant, count(*) AS touched FROM h GROUP BY item_id""")
 def topic_overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each query: documents that share a long term with it, and those that share three or more."""
-    long = lambda t: F.filter(X.tokens(t), lambda x: F.length(x) >= 6)
+    """For each query: documents that share a term of two letters or more with it, and those that share three or more."""
+    long = lambda t: F.filter(X.tokens(t), lambda x: F.length(x) >= 2)
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(long("text"))).alias("term"))
     words = docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(long("text"))).alias("term"))
     hits = words.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
     return hits.groupBy("item_id").agg(F.count_if(F.col("hits") >= 3).alias("relevant"), F.count("*").alias("touched"))
 
 
-@query("""WITH o AS (SELECT doc_id AS key, substr(sha256(concat_ws('::', coalesce(text, ''), coalesce(lang, ''))), 1, 16) AS h FROM documents WHERE doc_id % 7 <> 0),
-n AS (SELECT doc_id AS key, substr(sha256(concat_ws('::', CASE WHEN doc_id % 5 = 0 THEN upper(coalesce(text, '')) ELSE coalesce(text, '') END, coalesce(lang, ''))), 1, 16) AS h FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 7 = 0)
+@query("""WITH o AS (SELECT doc_id AS key, substr(sha256(concat_ws('::', coalesce(text, ''), coalesce(lang, ''))), 1, 16) AS h FROM documents WHERE n_chars % 7 <> 0),
+n AS (SELECT doc_id AS key, substr(sha256(concat_ws('::', CASE WHEN doc_id % 5 = 0 THEN upper(coalesce(text, '')) ELSE coalesce(text, '') END, coalesce(lang, ''))), 1, 16) AS h FROM documents WHERE n_chars % 11 <> 0 OR n_chars % 7 = 0)
 SELECT key, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'modified' ELSE 'unchanged' END AS action FROM o FULL JOIN n USING (key)""")
 def content_hash_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two derived snapshots: one lacks every seventh document, the other every eleventh of the rest and has changed every fifth; each is in one."""
+    """Two derived snapshots: one lacks texts of a length divided by seven, the other those divided by eleven alone and has changed every fifth; each is in one."""
     whole = docs(spark, sf_dir)
-    old = sync.state(whole.where("doc_id % 7 <> 0"), "doc_id", "text", "lang")
-    changed = whole.where("doc_id % 11 <> 0 OR doc_id % 7 = 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.upper("text")).otherwise(F.col("text")))
+    old = sync.state(whole.where("n_chars % 7 <> 0"), "doc_id", "text", "lang")
+    changed = whole.where("n_chars % 11 <> 0 OR n_chars % 7 = 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.upper("text")).otherwise(F.col("text")))
     return sync.diff(old, sync.state(changed, "doc_id", "text", "lang"))
 
 

@@ -185,6 +185,35 @@ def test_regulations_articles_and_headings(spark, chunk):
     parsed.unpersist()
 
 
+def slow_addenda(text):
+    nodes, now = [], None
+    for at, line in enumerate(x.strip() for x in (text or "").split("\n")):
+        if not line:
+            continue
+        m = re.match(module.ADDENDUM, line) or re.match(module.NUMBERED, line)
+        p = re.match(module.PARAGRAPH, line)
+        if m:
+            now = [at, None, "addendum_item", m[1], m[2] or "", m[3]]
+            nodes.append(now)
+        elif p:
+            nodes.append([at, now[0] if now else None, "paragraph" if now else "addendum_item", p[1], "", p[2]])
+        elif now:
+            now[5] = now[5] + ("\n" if line.startswith("|") else " ") + line if now[5] else line
+        else:
+            now = [at, None, "text", "", "", line]
+            nodes.append(now)
+    return sorted(map(tuple, nodes))
+
+
+def test_addenda(spark):
+    rows = [(i, "\n".join(random.Random(i).choices(["제1조(시행일) 이 규정은", "제2조의3", "1. (경과) 조치", "2.", "① 문단", "② ", "이어서", "| 표 |", "", "부칙"], k=i * 3))) for i in range(14)] + [(50, None)]
+    found = {}
+    for r in module.addenda_nodes(module.lines_of(spark.createDataFrame(rows, "doc_id long, text string")), chunk=8).collect():
+        found.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    for doc, text in rows:
+        assert sorted(found.get(doc, [])) == slow_addenda(text)
+
+
 def test_list_trees(spark):
     rng = random.Random(6)
     deep = [(1, "\n".join("  " * i + f"{i}. level" for i in range(30))), (2, None), (3, "plain\n\n1) a\n    가. b\n  ① c\n나) d\n -  x\n12. "), (4, "\n".join("  " * rng.randint(0, 6) + rng.choice(["1. a", "가) b", "② c", "3) d", "no"]) for _ in range(300)))]
