@@ -123,9 +123,12 @@ def _search(spark: SparkSession, path: str, queries: DataFrame, k: int, digits:
     slack = 10.0 ** -digits
     # the terms of the queries are few; without the cuts each use would sum the first blocks again
     ranked = cut(asked.join(near(floor), "query_id", "left").withColumn("light", light < F.coalesce("floor", F.lit(0.0)) - slack).drop("best"))
-    heavy = parts(ranked.where("NOT light").select("query_id", "term", "idf", "bucket")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
-    reach = ranked.groupBy("query_id").agg(F.coalesce(F.sum(F.when(F.col("light"), F.col("most"))), F.lit(0.0)).alias("rest"), F.coalesce(F.max("floor"), F.lit(0.0)).alias("floor"))
-    candidates = cut(heavy.join(near(reach), "query_id").where(F.col("part") + F.col("rest") >= F.col("floor") - slack).select("query_id", "doc_id", "part"))
+    heavy = cut(parts(ranked.where("NOT light").select("query_id", "term", "idf", "bucket")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("part")))
+    # sums over all postings of the heavy terms are a better floor than those over first blocks
+    higher = top_k(heavy, k, score="part").where(F.col("rank") == k).select("query_id", F.col("part").alias("higher"))
+    reach = ranked.groupBy("query_id").agg(F.coalesce(F.sum(F.when(F.col("light"), F.col("most"))), F.lit(0.0)).alias("rest")).join(higher, "query_id", "left")
+    kept = F.col("part") + F.col("rest") >= F.coalesce("higher", F.lit(0.0)) - slack
+    candidates = cut(heavy.join(near(reach), "query_id").where(kept).select("query_id", "doc_id", "part"))
     looked = parts(ranked.where("light").select("query_id", "term", "idf", "bucket")).join(candidates.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     scores = candidates.unionByName(looked).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), digits).alias("score"))
     return top_k(scores, k), {"heavy": heavy, "candidates": candidates, "looked": looked, "ranked": ranked}
