@@ -80,6 +80,16 @@ def test_long_texts_are_cut_where_both_vocabularies_cut(monkeypatch):
     assert list(pair.encode(texts)) == whole and len(pair.parts("some words of a text that is cut")) > 2
 
 
+def test_both_libraries_agree_on_common_signs():
+    pair = tokenizer_pair(*FILES)
+    rng = random.Random(8)
+    signs = [chr(i) for i in range(0x250)]
+    texts = [f"a{x}b {x}{x} 1{x}2 {x}" for x in signs] + ["".join(rng.choice(signs) for _ in range(50)) for _ in range(2000)] + ["it's he'll I'VE don't  x   y\n\n z", "<|endoftext|>"]
+    assert pair.fast is not None
+    for text in texts:
+        assert pair.fast.encode_ordinary(" " + text) == pair.a.encode(" " + text, add_special_tokens=False).ids
+
+
 def test_common_ends():
     rng = random.Random(4)
     for _ in range(500):
