@@ -13,12 +13,15 @@ from lexmill.sources.tables import table
 #: Weights of results by kind, and those that an intent sets instead.
 TYPE_WEIGHTS, INTENT_WEIGHTS = {"N": 1.5, "R": 0.5, "A": 0.5}, {"A": 1.2}
 
+#: The place of a row in its table: file, and row in it.
+PLACE = (("file_path", "file"), ("row_index", "row"))
+
 HITS = "h AS (SELECT l_orderkey AS query_id, l_partkey AS doc_id, l_linenumber AS rank, l_discount * 10 AS score, l_returnflag AS kind, l_quantity AS size FROM lineitem)"
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str, *more: tuple[str, str]) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), F.col("l_linenumber").alias("rank"), (F.col("l_discount") * 10).alias("score"), F.col("l_returnflag").alias("kind"), F.col("l_quantity").alias("size")
+        F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), F.col("l_linenumber").alias("rank"), (F.col("l_discount") * 10).alias("score"), F.col("l_returnflag").alias("kind"), F.col("l_quantity").alias("size"), *(F.col(f"_metadata.{c}").alias(n) for c, n in more)
     )
 
 
@@ -61,8 +64,11 @@ def blended_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {HITS}, d AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) AS copy FROM h),
 p AS (SELECT query_id, doc_id, rank, size < 10 AS low_signal, row_number() OVER (PARTITION BY query_id ORDER BY size < 10, rank, doc_id) AS place FROM d WHERE copy = 1) SELECT query_id, doc_id, low_signal, place FROM p WHERE place <= 3""")
 def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three sources for each answer, each once: informative ones by rank, filled up with those of little signal."""
-    once = R.first_of_group(hits(spark, sf_dir), ["query_id", "doc_id"], [F.col("rank")]).withColumn("low_signal", F.col("size") < 10)
+    """Three sources for each answer, each once: informative ones by rank, filled up with those of little signal.
+
+    Of copies of a source with one rank the first in the table counts, so that reruns agree.
+    """
+    once = R.first_of_group(hits(spark, sf_dir, *PLACE), ["query_id", "doc_id"], [F.col("rank"), F.col("file"), F.col("row")]).withColumn("low_signal", F.col("size") < 10)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("low_signal", "rank", "doc_id"))
     return once.withColumn("place", place.cast("long")).where("place <= 3").select("query_id", "doc_id", "low_signal", "place")
 
