@@ -86,10 +86,13 @@ u AS (SELECT query_id, doc_id, rank, 0 AS list, score * w AS s FROM h JOIN q USI
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY list, rank, s DESC) AS n FROM u), p AS (SELECT query_id, doc_id, list, round(s, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS place FROM f WHERE n = 1)
 SELECT query_id, doc_id, list, score, place FROM p WHERE place <= 5""")
 def merged_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lists of results with weights by the quality of the first; a result of both counts in the first."""
-    rows = hits(spark, sf_dir)
-    w = F.when(F.avg("score").over(Window.partitionBy("query_id")) > 0.5, 0.7).otherwise(0.5)
-    rows = rows.withColumn("w", w)
+    """Two lists of results with weights by the quality of the first; a result of both counts in the first.
+
+    Many averages lie at the limit but for the rounding of their sums, so scores are added up in the order of the table's rows.
+    """
+    rows = hits(spark, sf_dir, *PLACE)
+    all_ = Window.partitionBy("query_id").orderBy("file", "row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("w", F.when(F.avg("score").over(all_) > 0.5, 0.7).otherwise(0.5))
     one = rows.where("rank % 2 = 1").select("query_id", "doc_id", "rank", F.lit(0).alias("list"), (F.col("score") * F.col("w")).alias("s"))
     two = rows.where("rank % 2 = 0 OR rank = 1").select("query_id", "doc_id", "rank", F.lit(1).alias("list"), (F.col("score") * (1 - F.col("w"))).alias("s"))
     once = R.first_of_group(one.unionByName(two), ["query_id", "doc_id"], [F.col("list"), F.col("rank"), F.desc("s")]).withColumn("score", F.round("s", 9))
