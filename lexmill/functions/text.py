@@ -19,6 +19,20 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
 
 
+#: Signs whose upper case in full takes several signs, and the one sign that each becomes alone: itself where there is none.
+_LONG = [c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1]
+_ALONE = ["ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _LONG]
+
+
+def upper(text: Column | str) -> Column:
+    """Upper case sign by sign, as SQL engines have it: no sign becomes several, and ß becomes ẞ."""
+    text = F.col(text) if isinstance(text, str) else text
+    signs = "".join(_LONG)
+    runs = F.regexp_extract_all(text, F.lit(f"[{signs}]+|[^{signs}]+"), F.lit(0))
+    one_by_one = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^[{signs}]"), F.translate(r, signs, "".join(_ALONE))).otherwise(F.upper(r))), "")
+    return F.when(F.octet_length(text) == F.length(text), F.upper(text)).otherwise(one_by_one)
+
+
 def keyword_tokens(text: Column, stopwords: tuple[str, ...] = ()) -> Column:
     """Tokens of two characters or more that are no stop word."""
     return F.filter(tokens(text), lambda t: (F.length(t) >= 2) & ~t.isin(*stopwords) if stopwords else F.length(t) >= 2)

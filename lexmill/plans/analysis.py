@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import upper
 from lexmill.operators import dictionary as d
 from lexmill.plans.registry import query
 from lexmill.sources.tables import spread, table
@@ -37,7 +38,7 @@ def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, w = pairs(spark, sf_dir), words(spark, sf_dir).where(F.length("a") >= 8)
     entry = lambda rows, kind, keyword, confidence, *terms: rows.groupBy(F.col(keyword).alias("keyword")).agg(F.array(*(F.min(t) for t in terms)).alias("expansions")).select(F.lit(kind).alias("kind"), "keyword", F.lit(confidence).alias("confidence"), "expansions")
     short = words(spark, sf_dir).where(F.length("a") < 4)
-    dictionary = entry(p, "pair", "pair", 0.95, "a", "b").unionByName(entry(w.withColumn("u", F.upper("a")), "word", "a", 0.75, "u")).unionByName(entry(short, "short", "a", 0.2, "a"))
+    dictionary = entry(p, "pair", "pair", 0.95, "a", "b").unionByName(entry(w.withColumn("u", upper("a")), "word", "a", 0.75, "u")).unionByName(entry(short, "short", "a", 0.2, "a"))
     return d.recognise_entities(texts(spark, sf_dir), dictionary).withColumn("expansions", F.array_join("expansions", ","))
 
 
