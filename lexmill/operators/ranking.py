@@ -5,8 +5,14 @@ Results are rows (query_id, doc_id, score, rank); equal scores are ordered by do
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexmill.functions.text import TOKEN, ratio, tokens
 
@@ -74,20 +80,98 @@ def cosine(a: Column, b: Column) -> Column:
     return ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Query vectors that are broadcast at once; more are asked in blocks.
-QUERY_BLOCK = 10_000
+#: Query vectors that are broadcast at once (more are asked in blocks), and scores that a task holds at once.
+QUERY_BLOCK, SCORES = 10_000, 4_000_000
+
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in rows, of length one, and how many components each has. Null and zero vectors and those with a null are zero."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    flat, row = pc.list_flatten(column), np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    rows, inside = np.zeros((len(lengths), width)), at < width
+    rows[row[inside], at[inside]] = np.asarray(pc.fill_null(flat, 0).cast(pa.float64()))[inside]
+    if flat.null_count:
+        rows[row[np.asarray(flat.is_null())]] = 0
+    norm = np.sqrt((rows * rows).sum(1))
+    with np.errstate(invalid="ignore"):
+        return rows / np.where(norm == 0, 1, norm)[:, None], lengths
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = None, digits: int = 9) -> DataFrame:
-    """Exact top k vectors for a stated set of queries (query_id, embedding), in blocks of about ``QUERY_BLOCK`` that are broadcast."""
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = None, digits: int = 9, clip: tuple[float, float] | None = None) -> DataFrame:
+    """Exact top k vectors for a stated set of queries (query_id, embedding), in blocks of about ``QUERY_BLOCK`` that are broadcast.
+
+    Every vector is compared with every query, as products of matrices; a task keeps the k best of each query and passes on those
+    alone. A query is no result of its own. If queries have a column ``only``, results have that ``label`` where it is not null.
+    """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    labelled = "only" in queries.columns
+    kind = vectors.schema["doc_id"].dataType
+    asked_kind = queries.schema["query_id"].dataType
+    rows = vectors.where("doc_id IS NOT NULL").select("doc_id", "embedding", *(["label"] if labelled else []))
     found = None
     for block in range(blocks):
         mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
-        asked = F.broadcast(mine.select("query_id", F.col("embedding").alias("asked")))
-        scored = vectors.join(asked, F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", F.round(cosine(F.col("asked"), F.col("embedding")), digits).alias("score"))
-        best = top_k(scored if threshold is None else scored.where(F.col("score") >= threshold), k)
-        found = best if found is None else found.unionByName(best)
+        asked = mine.where("query_id IS NOT NULL").select("query_id", "embedding", *(["only"] if labelled else [])).toArrow()
+        names = asked.column("query_id").to_pylist()
+        width = max([len(v) for v in asked.column("embedding").to_pylist() if v] or [0])
+        shared = vectors.sparkSession.sparkContext.broadcast((names, *_matrix(asked.column("embedding"), width), asked.column("only").to_pylist() if labelled else None))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared, width=width) -> Iterator[pa.RecordBatch]:
+            names, q, sizes, only = shared.value
+            place = {}
+            for i, name in enumerate(names):
+                place.setdefault(name, []).append(i)
+            codes = {v: i for i, v in enumerate(sorted({v for v in only or () if v is not None}))}
+            wants = np.array([-1 if v is None else codes[v] for v in only], dtype=int) if labelled else None
+            if not names:
+                return
+            floor = np.full(len(names), -np.inf if threshold is None else float(threshold))
+            plain = pa.types.is_integer(to_arrow_type(kind))
+            # the best so far: place of the query, order, score, id
+            top = [np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros(0, np.int64 if plain else object)]
+            step, even = max(1, SCORES // len(names)), bool((sizes == sizes[0]).all())
+            for batch in batches:
+                start = 0
+                while start < batch.num_rows:
+                    # few rows fill the lists, so that the others meet a floor
+                    part = batch.slice(start, step if len(top[0]) else min(step, 16 * k))
+                    start += part.num_rows
+                    x, lengths = _matrix(part.column(1), width)
+                    scores = x @ q.T
+                    if not even or (lengths != sizes[0]).any():
+                        scores[lengths[:, None] != sizes] = 0
+                    if clip:
+                        scores = np.where(np.isnan(scores), clip[1], np.clip(scores, *clip))
+                    hit = ~(scores < floor - 10.0**-digits)
+                    if labelled:
+                        own = np.array([codes.get(v, -2) for v in part.column(2).to_pylist()], dtype=int)
+                        hit &= (wants < 0) | (own[:, None] == wants)
+                    ids = part.column(0).to_numpy(zero_copy_only=False) if plain else np.array([*part.column(0).to_pylist(), None], object)[:-1]
+                    for i, name in enumerate(ids.tolist()):
+                        if name in place:
+                            hit[i, place[name]] = False
+                    row, col = np.nonzero(hit)
+                    score = scores[row, col]
+                    order = np.where(np.isnan(score), np.inf, np.round(score, digits))
+                    if threshold is not None:
+                        row, col, score, order = (v[order >= threshold] for v in (row, col, score, order))
+                    if not len(row):
+                        continue
+                    top = [np.concatenate(p) for p in zip(top, (col, order, score, ids[row]))]
+                    names_at = top[3] if plain else np.unique(top[3], return_inverse=True)[1]
+                    at = np.lexsort((names_at, -top[1], top[0]))
+                    nth = np.arange(len(at)) - np.searchsorted(top[0][at], top[0][at])
+                    at, last = at[nth < k], at[nth == k - 1]
+                    floor[top[0][last]] = top[1][last]
+                    top = [p[at] for p in top]
+            ids_of = [names[i] for i in top[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids_of, to_arrow_type(asked_kind)), pa.array(list(top[3]), to_arrow_type(kind)), pa.array(top[2], pa.float64())], ["query_id", "doc_id", "score"])
+
+        told = rows.mapInArrow(best, f"query_id {asked_kind.simpleString()}, doc_id {kind.simpleString()}, score double").withColumn("score", F.round("score", digits))
+        one = top_k(told, k)
+        found = one if found is None else found.unionByName(one)
     return found
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import clipped, ratio
+from lexmill.functions.text import ratio
 from lexmill.operators import ranking as R
 from lexmill.plans.registry import query
 from lexmill.sources.tables import table
@@ -146,11 +146,9 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 def filtered_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest active vectors of each query, filtered before they are ranked; every second query asks for its own label."""
     vectors = table(spark, sf_dir, "embeddings").withColumn("status", F.when(F.col("vec_id") % 7 == 0, "abolished").otherwise("active"))
-    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), F.when(F.col("vec_id") % 200 == 0, F.col("label")).alias("only"))
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.when(F.col("vec_id") % 200 == 0, F.col("label")).alias("only"))
     active = vectors.where("status = 'active'").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    wanted = (F.col("doc_id") != F.col("query_id")) & (F.col("only").isNull() | (F.col("label") == F.col("only")))
-    scored = active.join(asked, wanted).select("query_id", "doc_id", F.round(clipped(R.cosine(F.col("asked"), F.col("embedding")), 0.0, 1.0), 9).alias("score"))
-    return R.top_k(scored, 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("place"))
+    return R.cosine_top_k(active, asked, 5, clip=(0.0, 1.0)).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("place"))
 
 
 @query("""WITH q AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS q FROM part), t AS (SELECT DISTINCT p_name AS title FROM part),
