@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import tokens
 
 
+#: Slots of the table by whose counts tokens are ordered.
+SLOTS = 1 << 20
+
+
 def group_copies(docs: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, first_id, copies) by a key. Groups are summed before the join, so a hot key is one row on that side."""
     keyed = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"))
@@ -22,19 +30,54 @@ def jaccard_pairs(docs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) for pairs of different texts by their token sets, through prefix filtering.
 
     Sets that reach the threshold share a token among their rarest ones, so candidates come from those alone and frequent tokens
-    join nothing. Texts that are equal are one text, with the smallest id.
+    join nothing. Any one order of all tokens will do: it is by a table of counts with ``SLOTS`` slots, so that only prefixes are
+    exchanged. Pairs that cannot reach the threshold with the tokens behind those they share go before their sets are compared.
+    Texts that are equal are one text, with the smallest id.
     """
     first = docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
     words = docs.join(first.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.array_distinct(tokens("text")).alias("t"))
-    terms = words.select("doc_id", F.size("t").alias("size"), F.explode("t").alias("term"))
-    frequency = terms.groupBy("term").agg(F.count("*").alias("df"))
-    rarest = Window.partitionBy("doc_id").orderBy("df", "term")
-    ranked = terms.join(frequency, "term").withColumn("r", F.row_number().over(rarest))
-    prefix = ranked.where(F.col("r") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1)
-    left = prefix.select("term", F.col("doc_id").alias("a"), F.col("size").alias("m"))
-    right = prefix.select("term", F.col("doc_id").alias("b"), F.col("size").alias("n"))
+
+    def slots(terms: list[str]) -> np.ndarray:
+        return np.fromiter((zlib.crc32(t.encode("utf-8", "replace")) & (SLOTS - 1) for t in terms), np.int64, len(terms))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for terms in batch.column(1):
+                np.add.at(total, slots(terms.as_py()), 1)
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    told = words.where(F.size("t") > 0).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(SLOTS, np.int64)
+    table[np.asarray(told.column("slot"))] = np.asarray(told.column("n"))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    kind = words.schema["doc_id"].dataType
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                row, size, rank, term = [], [], [], []
+                for i, terms in enumerate(part.column(1)):
+                    terms = terms.as_py()
+                    order = sorted(zip(shared.value[slots(terms)].tolist(), terms))
+                    kept = order[: len(terms) - math.ceil(threshold * len(terms)) + 1]
+                    row += [i] * len(kept)
+                    size += [len(terms)] * len(kept)
+                    rank += range(1, len(kept) + 1)
+                    term += [t for _, t in kept]
+                ids = part.column(0).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int32()), pa.array(rank, pa.int32()), pa.array(term, pa.string())], ["doc_id", "size", "r", "term"])
+
+    prefix = words.where(F.size("t") > 0).mapInArrow(rarest, f"doc_id {kind.simpleString()}, size int, r int, term string")
+    left = prefix.select("term", F.col("doc_id").alias("a"), F.col("size").alias("m"), F.col("r").alias("i"))
+    right = prefix.select("term", F.col("doc_id").alias("b"), F.col("size").alias("n"), F.col("r").alias("j"))
     fits = (F.col("a") < F.col("b")) & (F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n"))
-    pairs = left.join(right, "term").where(fits).select("a", "b").distinct()
+    met = left.join(right, "term").where(fits).groupBy("a", "b", "m", "n").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
+    # what both sets share besides stands behind the last prefix token that they share
+    most = F.col("k") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
+    pairs = met.where(most >= F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("n")) - 1e-6).select("a", "b")
     both = pairs.join(words.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(words.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     likeness = shared.cast("double") / (F.size("ta") + F.size("tb") - shared)
