@@ -118,20 +118,68 @@ def _by_join(rows: DataFrame, known: DataFrame, id_col: str, select: str) -> Dat
     return found.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(id_col, "phrase", "start", "end")
 
 
-def synonym_expansions(queries: DataFrame, synonyms: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+def synonym_expansions(queries: DataFrame, synonyms: DataFrame, id_col: str = "query_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """(id_col, at, way, value): expansions of the words of each query, ``synonyms`` (term, rank from 0, synonym) read both ways.
 
     A word of two characters or more gives the first two synonyms of its term (way 0), then the terms that it is a synonym of, by
     name, unless the query has that value already (way 1). ``at`` numbers a query's expansions from 0; none for a null text.
     """
-    words = queries.select(id_col, F.posexplode(F.split(F.trim(F.regexp_replace(text_col, r"\s+", " ")), " ")).alias("word_at", "word")).where(F.length("word") >= 2)
+    return synonym_lists(queries, synonyms, id_col, text_col, limit).select(id_col, F.posexplode("all").alias("at", "e")).select(id_col, "at", "e.way", "e.value")
+
+
+def synonym_lists(queries: DataFrame, synonyms: DataFrame, id_col: str = "query_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+    """(id_col, all array<struct<way, value>>): `synonym_expansions` of each query in order; queries without any may have no row.
+
+    Up to ``limit`` bytes of synonyms are looked up where the text is, if no id names two texts, so that no word is exchanged;
+    otherwise words meet them in joins.
+    """
+    plain = F.trim(F.regexp_replace(text_col, r"\s+", " "))
+    size = synonyms.agg(F.coalesce(F.sum(F.octet_length("term") + F.octet_length("synonym") + BESIDES), F.lit(0))).first()[0]
+    if size <= limit and queries.groupBy(id_col).count().where("count > 1").isEmpty():
+        return _expansions_by_row(queries.select(id_col, plain.alias("text")).where("text <> ''"), synonyms, id_col)
+    words = queries.select(id_col, F.posexplode(F.split(plain, " ")).alias("word_at", "word")).where(F.length("word") >= 2)
     forward = words.join(synonyms.where("rank < 2"), words["word"] == synonyms["term"]).select(id_col, "word_at", F.lit(0).alias("way"), "rank", F.col("term").alias("of"), F.col("synonym").alias("value"))
     terms = synonyms.select("term", "synonym").distinct()
     back = words.join(terms, words["word"] == terms["synonym"]).select(id_col, "word_at", F.lit(1).alias("way"), F.lit(0).alias("rank"), F.col("term").alias("of"), F.col("term").alias("value"))
     order = ("word_at", "way", "rank", "of")
     first = F.row_number().over(Window.partitionBy(id_col, "value").orderBy(*order))
-    kept = forward.unionByName(back).withColumn("nth", first).where("way = 0 OR nth = 1")
-    return kept.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy(*order)) - 1).alias("at"), "way", "value")
+    # one exchange by id serves the windows
+    kept = forward.unionByName(back).repartition(id_col).withColumn("nth", first).where("way = 0 OR nth = 1")
+    ordered = F.array_sort(F.collect_list(F.struct(*order, "value")))
+    return kept.groupBy(id_col).agg(ordered.alias("all")).select(id_col, F.transform("all", lambda x: F.struct(x["way"].alias("way"), x["value"].alias("value"))).alias("all"))
+
+
+def _expansions_by_row(rows: DataFrame, synonyms: DataFrame, id_col: str) -> DataFrame:
+    table = synonyms.select("term", "rank", "synonym").where("term IS NOT NULL AND synonym IS NOT NULL").collect()
+    ahead: dict[str, list[str]] = {}
+    for r in sorted((r for r in table if r["rank"] is not None and r["rank"] < 2), key=lambda r: r["rank"]):
+        ahead.setdefault(r.term, []).append(r.synonym)
+    behind: dict[str, list[str]] = {}
+    for term, synonym in sorted({(r.term, r.synonym) for r in table}):
+        behind.setdefault(synonym, []).append(term)
+    told, kind = rows.sparkSession.sparkContext.broadcast((ahead, behind)), to_arrow_type(rows.schema[id_col].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead, behind = told.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                ends, way, value = [0], [], []
+                for text in part.column(1):
+                    seen = set()
+                    for word in text.as_py().split(" "):
+                        if len(word) >= 2:
+                            first = ahead.get(word, ())
+                            seen.update(first)
+                            other = [t for t in behind.get(word, ()) if t not in seen]
+                            seen.update(other)
+                            value += [*first, *other]
+                            way += [0] * len(first) + [1] * len(other)
+                    ends.append(len(value))
+                made = pa.StructArray.from_arrays([pa.array(way, pa.int32()), pa.array(value, pa.string())], ["way", "value"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)], [id_col, "all"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, all array<struct<way: int, value: string>>")
 
 
 def for_matching(text: Column) -> Column:

@@ -63,9 +63,10 @@ def synonym_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expansions of the words of each document by a table of synonyms read both ways, in order."""
     named = words(spark, sf_dir).select(F.lower("a").alias("term"), F.array(*(F.lower(n) for n in "bce")).alias("s"), (F.col("item_id") * 100000 + F.col("i")).alias("at"))
     table_ = named.groupBy("term").agg(F.min_by("s", "at").alias("s")).select("term", F.posexplode("s").alias("rank", "synonym")).where("synonym <> ''")
-    rows = d.synonym_expansions(texts(spark, sf_dir), table_, "doc_id")
-    ordered = F.array_sort(F.collect_list(F.struct("at", "value")))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("expansions"), F.count_if(F.col("way") == 1).alias("reversed"), F.md5(F.array_join(F.transform(ordered, lambda x: x["value"]), " ")).alias("digest"))
+    rows = d.synonym_lists(texts(spark, sf_dir), table_, "doc_id").where(F.size("all") > 0)
+    reversed_ = F.size(F.filter("all", lambda x: x["way"] == 1)).cast("long")
+    digest = F.md5(F.array_join(F.transform("all", lambda x: x["value"]), " ").cast("binary"))
+    return rows.select("doc_id", F.size("all").cast("long").alias("expansions"), reversed_.alias("reversed"), digest.alias("digest"))
 
 
 #: Regular expressions of three intents, beside those with triggers.
