@@ -68,8 +68,10 @@ def _by_automaton(rows: DataFrame, known: DataFrame, id_col: str, select: str) -
         automaton = _automaton(words.value)
         for batch in batches:
             row, phrase, start, stop = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist() if len(automaton) else ()):
-                spans = [(end + 1 - length, end + 1) for end, length in automaton.iter(text)]
+            for i, text in enumerate(batch.column(1) if len(automaton) else ()):
+                text = text.as_py()
+                spans = ((end + 1 - length, end + 1) for end, length in automaton.iter(text))
+                spans = spans if select == "first" else list(spans)
                 if select == "first":
                     least: dict[str, tuple[int, int]] = {}
                     for a, b in spans:
