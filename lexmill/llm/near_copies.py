@@ -5,10 +5,12 @@ bit of a band, and in at most ``RADIUS`` of the 128 bits of its word and the nex
 whose shingles are alike to ``least`` are linked, so no link is false; a pair that no band brings together is missed.
 
 Candidates in the same class need no comparison: each set is compared with its nearest candidate first, twice, and then all
-pairs between different classes. Where a set has more than ``CROWD`` candidates in a shard, a few of them are taken in the
-first pass, and a second pass takes all pairs between the classes that are still apart, so that nothing is left out. There
-the shingles of the crowds travel to the shards, which compare them in place and return links alone: what leaves a shard
-grows with its sets and not with its pairs. Sets of more than ``LONG`` shingles are too large to travel and go as pairs.
+pairs between different classes. Where a set has more than ``CROWD`` candidates in a shard, the nearest and the lowest of them
+are taken in the first pass: the lowest is the same for most of a crowd, so that most of it is one class after one turn. A
+second pass takes all pairs between the classes that are still apart, so that nothing is left out. First the shards name the
+sets that have candidates in other classes; the shingles of those alone travel to the shards, which compare them in place and
+return links alone: what leaves a shard grows with its sets and not with its pairs. Sets of more than ``LONG`` shingles are
+too large to travel and go as pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from lexmill.llm.simhash_vptree import BLOCK, CELL, FACING, FEWEST, HOME, MOST,
 
 #: Words of a fingerprint, bands of 16 bits, bits that may differ in a band and in two words.
 WORDS, BANDS, WITHIN, RADIUS = 3, 12, 1, 30
-#: Candidates of a set in a shard from which on the first pass takes only the lowest and the nearest.
-CROWD, LOWEST, NEAREST = 6, 1, 2
+#: Candidates of a set in a shard from which on the first pass takes only the lowest and the nearest; what stands for the
+#: distance of a lowest one.
+CROWD, HUB = 6, -1
 #: Shingles from which on a set of a crowd is also compared by pairs; those that travel have a quarter more at most, since sets
 #: alike to 0.8 or more differ no more than that in size.
 LONG = 2048
@@ -112,9 +115,10 @@ def partners(sets: pa.Array, least: float, a: np.ndarray, b: np.ndarray) -> np.n
 def candidates(nodes: DataFrame, crowd: int | None, shard: int = SHARD, block: int = BLOCK, least: float | None = None) -> DataFrame:
     """(u, v, d): pairs u < v of ``nodes`` (node, w0, w1, w2, label) with different labels; a pair can come more than once.
 
-    With ``crowd``, a node with more candidates than that in a shard gives a few, and rows with u = v name it and all its
-    candidates there. With ``least``, ``nodes`` have their sorted ``hashes``, and only pairs alike to that are returned, of them
-    as many as join what all join.
+    With ``crowd``, a node with more candidates than that in a shard gives the nearest, and the lowest, if lower than itself, with
+    d = ``HUB``; rows with u = v name it and all its candidates there. A negative ``crowd`` gives such names alone, of every node
+    with a candidate. With ``least``, ``nodes`` have their sorted ``hashes``, and only pairs alike to that are returned, of them
+    as many as join the labels that all join.
     """
     spark, n = nodes.sparkSession, nodes.count()
     shards = power_of_two(n / shard, FEWEST, MOST)
@@ -160,7 +164,13 @@ def candidates(nodes: DataFrame, crowd: int | None, shard: int = SHARD, block: i
         asking = order if (role == HOME).any() else visitors
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         crowded: list[np.ndarray] = []
-        forest = LocalForest(len(node)) if least is not None else None
+        forest = None
+        if least is not None:
+            # what has one label is one class from the start, so that only joins of labels are found and returned
+            forest = LocalForest(len(node))
+            _, firsts, label_no = np.unique(label, return_index=True, return_inverse=True)
+            forest.root[:] = firsts[label_no]
+            began = forest.root.copy()
         sets = cell.column("hashes").combine_chunks() if least is not None else None
         if len(homes) and len(asking):
             tree = VantageTree(mine[homes] & mask, 512, 24)
@@ -184,17 +194,19 @@ def candidates(nodes: DataFrame, crowd: int | None, shard: int = SHARD, block: i
                     if crowd is not None and (over := np.flatnonzero(hits.sum(1) > crowd)).size:
                         full = hits[over]
                         crowded += [node[here[over]], node[there[full.any(0)]]]
-                        near = np.argpartition(np.where(full, bits[over], 255), NEAREST, axis=1)[:, :NEAREST]
-                        few = full & (np.cumsum(full, axis=1, dtype=np.int32) <= LOWEST)
-                        np.put_along_axis(few, near, True, axis=1)
-                        hits[over] = few
+                        hits[over] = False
+                        if crowd >= 0:
+                            hits[over, np.where(full, bits[over], 255).argmin(axis=1)] = True
+                            # homes are in the order of their numbers
+                            hub, own = node[there[full.argmax(axis=1)]], node[here[over]]
+                            found.append((hub[hub < own], own[hub < own], np.full((hub < own).sum(), HUB)))
                     a, b = np.nonzero(hits)
                     found.append((node[here[a]], node[there[b]], bits[a, b]))
         if crowded:
             named = np.unique(np.concatenate(crowded))
             found.append((named, named, np.zeros(len(named), np.uint8)))
         if forest:
-            moved = np.flatnonzero(forest.root != np.arange(len(node)))
+            moved = np.flatnonzero((forest.root != began) & (began == np.arange(len(node))))
             found.append((node[moved], node[forest.root[moved]], np.zeros(len(moved), np.uint8)))
         a, b, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
         return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b), "d": d.astype(np.int16)})
@@ -235,32 +247,35 @@ def stars(classes: DataFrame) -> DataFrame:
     return classes.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
 
-def linked(pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, text_col: str, least: float, known: DataFrame | None = None) -> DataFrame:
-    """(node, root): the classes that all pairs (u, v, d, later) alike to ``least`` make of the classes ``known``.
+def nearest(pairs: DataFrame) -> DataFrame:
+    """(u, v): the nearest of the pairs (u, v, d) of each node."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node"), F.struct("d", "u", "v").alias("pair"))
+    return ends.groupBy("node").agg(F.min("pair").alias("pair")).select("pair.u", "pair.v").distinct()
 
-    Pairs that are compared ``later`` serve the first turn alone.
+
+def linked(first: DataFrame, pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, text_col: str, least: float, known: DataFrame | None = None) -> DataFrame:
+    """(node, root): the classes that the pairs ``first`` (u, v), asked at once, and ``pairs`` (u, v, d), asked where they are
+    between classes, make of the classes ``known`` where they are alike to ``least``.
     """
-    sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, marked, width, text_col)
-    label, left = known, pairs
-    for turn in range(3):
-        asked = left
-        if turn < 2:
-            ends = left.select(F.col("u").alias("node"), F.struct("d", "u", "v").alias("pair")).unionByName(left.select(F.col("v").alias("node"), F.struct("d", "u", "v").alias("pair")))
-            asked = ends.groupBy("node").agg(F.min("pair").alias("pair")).select("pair.u", "pair.v").distinct()
-        asked = cut_lineage(asked.select("u", "v"))
+    named = first.unionByName(pairs.select("u", "v")).select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = sets_of(named, docs, marked, width, text_col)
+    label, left, asked, turn = known, pairs, first, 0
+    while True:
         needed = sets if turn == 0 else among(sets, asked.select(F.explode(F.array("u", "v")).alias("node")), "node")
         links = cut_lineage(alike(asked, needed, least))
-        # the classes so far are stars, which settle at once
-        label = components(links.unionByName(stars(label)) if label else links)
-        if turn < 2:
-            one, two = (label.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv")
-            apart = F.coalesce("u_root", "u") != F.coalesce("v_root", "v")
-            left = left.where("NOT later") if turn == 0 else left
-            left = left.join(asked, ["u", "v"], "left_anti").join(one, "u", "left").join(two, "v", "left").where(apart).select("u", "v", "d")
-            left = cut_lineage(left)
-            if left.isEmpty():
-                break
-    return label
+        if label is None or not links.isEmpty():
+            # the classes so far are stars, which settle at once
+            label = cut_lineage(components(links.unionByName(stars(label)) if label else links))
+        if turn == 2:
+            return label
+        one, two = (label.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv")
+        apart = F.coalesce("u_root", "u") != F.coalesce("v_root", "v")
+        left = cut_lineage(left.join(asked, ["u", "v"], "left_anti").join(one, "u", "left").join(two, "v", "left").where(apart).select("u", "v", "d"))
+        if left.isEmpty():
+            return label
+        # a turn of the nearest alone pays where it spares more than it costs
+        turn = 2 if turn == 1 or left.count() <= asked.count() else 1
+        asked = cut_lineage(nearest(left) if turn == 1 else left.select("u", "v"))
 
 
 def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,22 +287,29 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
     marked = cut_lineage(fingerprints(docs, width, id_col, text_col))
     words = [f"w{w}" for w in range(WORDS)]
     nodes = cut_lineage(marked.groupBy("node").agg(*(F.first(w).alias(w) for w in words)).withColumn("label", F.col("node")))
-    found = cut_lineage(candidates(nodes, CROWD).groupBy("u", "v").agg(F.min("d").alias("d")))
+    found = cut_lineage(candidates(nodes, CROWD).groupBy("u", "v").agg(F.min("d").alias("d"), F.max("d").alias("most")))
     crowds = cut_lineage(found.where("u = v").select(F.col("u").alias("node")))
-    one, two = (crowds.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_crowd")) for c in "uv")
-    later = F.coalesce(F.col("u_crowd") & F.col("v_crowd"), F.lit(False)).alias("later")
-    pairs = found.where("u <> v").join(one, "u", "left").join(two, "v", "left").select("u", "v", "d", later)
-    label = linked(cut_lineage(pairs), docs, marked, width, text_col, least)
-    if not crowds.isEmpty():
+    near = found.where(F.col("most") > HUB).select("u", "v", F.when(F.col("d") == HUB, F.col("most")).otherwise(F.col("d")).alias("d")).where("u <> v")
+    hubs = found.where(F.col("d") == HUB).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    first = cut_lineage(nearest(near).unionByName(hubs).distinct())
+    pairs, crowded = near, not crowds.isEmpty()
+    if crowded:
+        # pairs inside crowds wait for the second pass, but for the first of them
+        one, two = (crowds.select(F.col("node").alias(c)) for c in "uv")
+        pairs = near.join(one, "u", "left_anti").unionByName(near.join(two, "v", "left_anti")).distinct()
+    label = linked(first, cut_lineage(pairs), docs, marked, width, text_col, least)
+    if crowded:
         # crowds gave only a few of their candidates: now all pairs of theirs between classes
         known = nodes.drop("label").join(crowds, "node", "left_semi").join(label.select("node", F.col("root").alias("label")), "node", "left")
-        known = known.withColumn("label", F.coalesce("label", "node")).join(sets_of(crowds, docs, marked, width, text_col), "node")
-        known = cut_lineage(known)
-        short = cut_lineage(candidates(known.where(F.size("hashes") <= LONG * 5 // 4), None, least=least).select("u", "v").distinct())
-        label = components(short.unionByName(stars(label)))
-        more = cut_lineage(candidates(known.where(F.size("hashes") >= LONG).drop("hashes"), None).groupBy("u", "v").agg(F.min("d").alias("d")).withColumn("later", F.lit(False)))
-        if not more.isEmpty():
-            label = linked(more, docs, marked, width, text_col, least, label)
+        known = cut_lineage(known.withColumn("label", F.coalesce("label", "node")))
+        apart = cut_lineage(candidates(known, -1).select(F.col("u").alias("node")).distinct())
+        if not apart.isEmpty():
+            known = cut_lineage(known.join(apart, "node", "left_semi").join(sets_of(apart, docs, marked, width, text_col), "node"))
+            short = cut_lineage(candidates(known.where(F.size("hashes") <= LONG * 5 // 4), None, least=least).select("u", "v").distinct())
+            label = cut_lineage(components(short.unionByName(stars(label))))
+            more = cut_lineage(candidates(known.where(F.size("hashes") >= LONG).drop("hashes"), None).groupBy("u", "v").agg(F.min("d").alias("d")))
+            if not more.isEmpty():
+                label = linked(cut_lineage(nearest(more)), more, docs, marked, width, text_col, least, label)
     rooted = marked.select("doc_id", "digest", "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(smallest, "root").select("doc_id", "digest", F.col("root").alias("component"), "component_id")

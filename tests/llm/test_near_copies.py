@@ -80,3 +80,19 @@ def test_more_blocks_than_one_shard_holds(spark):
     links = simhash_vptree.near_pairs(frame, shard=1000, block=2).collect()
     want = roots(values, [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4])
     assert roots(values, [(r.u, r.v) for r in links]) == want
+
+
+def test_crowds_ask_pairs_in_proportion_to_their_sets(spark, monkeypatch):
+    """Pairs inside a crowd wait: what is asked at once are two for each set, and no pair of two of its sets is asked later."""
+    pick, counts, linked = random.Random(13), [], near_copies.linked
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, edited(words, 1 + i % 3, pick)) for i in range(120)], "doc_id long, text string")
+
+    def counting(first, pairs, *rest):
+        counts.append((first.count(), pairs.count()))
+        return linked(first, pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "CROWD", 5)
+    monkeypatch.setattr(near_copies, "linked", counting)
+    assert {r.component_id for r in near_copies.near_copies(docs).collect()} == {0}
+    assert counts[0][0] <= 2 * 120 and counts[0][1] < 120
