@@ -9,6 +9,8 @@ machine, values that are set or kept, and stacks of the nearest smaller predeces
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,18 +36,23 @@ def running(rows: DataFrame, key: list[str], at: str, element: Column, compose:
 def _scan(rows: DataFrame, key: list[str], at: str, element: Column, compose, empty: Column, chunk: int, last: int) -> DataFrame:
     item = F.struct(F.col(at).alias("__at"), element.alias("e"), F.struct(*(c for c in rows.columns if c not in key)).alias("row"))
     names = {c: f"__k{i}" for i, c in enumerate(key)}
-    grouped = rows.groupBy(*(F.col(c).alias(n) for c, n in names.items()), F.floor(F.col(at) / chunk).alias("__chunk")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+    def grouped(part: DataFrame) -> DataFrame:
+        return part.groupBy(*(F.col(c).alias(n) for c, n in names.items()), F.floor(F.col(at) / chunk).alias("__chunk")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+
     if last < chunk:
-        started = grouped.withColumn("start", empty)
+        started = grouped(rows).withColumn("start", empty)
     else:
+        # nothing stands before a first chunk: only keys with later ones are composed chunk by chunk and joined with what comes of it
+        later = rows.where(F.col(at) >= chunk)
+        long = later.select(*(F.col(c).alias(f"{n}_") for c, n in names.items())).distinct()
+        same = lambda sides: reduce(and_, (F.col(a).eqNullSafe(F.col(b)) for a, b in sides))
         whole = F.aggregate("items", empty, lambda a, x: compose(a, x["e"]))
-        sums = cut(grouped.select(*names.values(), "__chunk", whole.alias("sum")))
-        starts = _scan(sums, list(names.values()), "__chunk", F.col("sum"), compose, empty, chunk, last // chunk)
+        sums = cut(grouped(rows.join(long, same((c, f"{n}_") for c, n in names.items()), "left_semi")).select(*names.values(), "__chunk", whole.alias("sum")))
+        starts = _scan(sums, list(names.values()), "__chunk", F.col("sum"), compose, empty, chunk, last // chunk).where(F.col("__chunk") > 0)
         side = starts.select(*(F.col(n).alias(f"{n}_") for n in names.values()), F.col("__chunk").alias("__chunk_"), F.col("before").alias("start"))
-        same = F.col("__chunk") == F.col("__chunk_")
-        for n in names.values():
-            same &= F.col(n).eqNullSafe(F.col(f"{n}_"))
-        started = grouped.join(side, same).drop("__chunk_", *(f"{n}_" for n in names.values()))
+        rest = grouped(later).join(side, same([("__chunk", "__chunk_"), *((n, f"{n}_") for n in names.values())])).drop("__chunk_", *(f"{n}_" for n in names.values()))
+        started = grouped(rows.where(F.col(at) < chunk)).withColumn("start", empty).unionByName(rest)
     first = F.struct(F.col("start").alias("now"), F.slice(F.array("start"), 1, 0).alias("out"))
     steps = F.aggregate("items", first, lambda s, x: F.struct(compose(s["now"], x["e"]).alias("now"), F.array_append(s["out"], s["now"]).alias("out")), lambda s: s["out"])
     pairs = F.arrays_zip(F.transform("items", lambda x: x["row"]).alias("row"), steps.alias("before"))
