@@ -6,16 +6,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut_lineage
+from lexmill.llm.common import stored
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (u long, v long): root is the smallest node of its component.
 
-    Each round joins on the node, never gathers a component in one task, and is written to the checkpoint folder. Self
+    Each round joins on the node, never gathers a component in one task, and is written to the shared folder. Self
     loops and repeated edges are allowed, rows with a null end are ignored; an empty table gives an empty result.
     """
-    pairs = cut_lineage(
+    pairs = stored(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     seen = None
@@ -32,7 +32,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lowest.select("u", F.col("m").alias("v"))
         )
-        pairs = cut_lineage(small.distinct())
+        pairs = stored(small.distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut_lineage, power_of_two
+from lexmill.llm.common import power_of_two, stored
 from lexmill.llm.components import LocalForest, components
 from lexmill.llm.simhash_vptree import BLOCK, CELL, FACING, FEWEST, HOME, MOST, SAMPLE_PER_SHARD, SHARD, VISITOR, VantageTree, bands, distance
 
@@ -238,9 +238,9 @@ def sets_of(named: DataFrame, docs: DataFrame, marked: DataFrame, width: int, te
             nodes = [np.uint64(node_of(np.sort(s.view(np.uint64)))).astype(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
-    wanted = cut_lineage(marked.join(named, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest")).select("digest").distinct())
+    wanted = stored(marked.join(named, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest")).select("digest").distinct())
     texts = among(docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest")), wanted, "digest").dropDuplicates(["digest"])
-    return cut_lineage(texts.select("text").mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]))
+    return stored(texts.select("text").mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]))
 
 
 def stars(classes: DataFrame) -> DataFrame:
@@ -262,20 +262,20 @@ def linked(first: DataFrame, pairs: DataFrame, docs: DataFrame, marked: DataFram
     label, left, asked, turn = known, pairs, first, 0
     while True:
         needed = sets if turn == 0 else among(sets, asked.select(F.explode(F.array("u", "v")).alias("node")), "node")
-        links = cut_lineage(alike(asked, needed, least))
+        links = stored(alike(asked, needed, least))
         if label is None or not links.isEmpty():
             # the classes so far are stars, which settle at once
-            label = cut_lineage(components(links.unionByName(stars(label)) if label else links))
+            label = stored(components(links.unionByName(stars(label)) if label else links))
         if turn == 2:
             return label
         one, two = (label.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv")
         apart = F.coalesce("u_root", "u") != F.coalesce("v_root", "v")
-        left = cut_lineage(left.join(asked, ["u", "v"], "left_anti").join(one, "u", "left").join(two, "v", "left").where(apart).select("u", "v", "d"))
+        left = stored(left.join(asked, ["u", "v"], "left_anti").join(one, "u", "left").join(two, "v", "left").where(apart).select("u", "v", "d"))
         if left.isEmpty():
             return label
         # a turn of the nearest alone pays where it spares more than it costs
         turn = 2 if turn == 1 or left.count() <= asked.count() else 1
-        asked = cut_lineage(nearest(left) if turn == 1 else left.select("u", "v"))
+        asked = stored(nearest(left) if turn == 1 else left.select("u", "v"))
 
 
 def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,32 +284,32 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
     ``component`` numbers the texts that links join, and component_id is their smallest doc_id, null if none has one. Texts
     without words are alike.
     """
-    marked = cut_lineage(fingerprints(docs, width, id_col, text_col))
+    marked = stored(fingerprints(docs, width, id_col, text_col))
     words = [f"w{w}" for w in range(WORDS)]
-    nodes = cut_lineage(marked.groupBy("node").agg(*(F.first(w).alias(w) for w in words)).withColumn("label", F.col("node")))
-    found = cut_lineage(candidates(nodes, CROWD).groupBy("u", "v").agg(F.min("d").alias("d"), F.max("d").alias("most")))
-    crowds = cut_lineage(found.where("u = v").select(F.col("u").alias("node")))
+    nodes = stored(marked.groupBy("node").agg(*(F.first(w).alias(w) for w in words)).withColumn("label", F.col("node")))
+    found = stored(candidates(nodes, CROWD).groupBy("u", "v").agg(F.min("d").alias("d"), F.max("d").alias("most")))
+    crowds = stored(found.where("u = v").select(F.col("u").alias("node")))
     near = found.where(F.col("most") > HUB).select("u", "v", F.when(F.col("d") == HUB, F.col("most")).otherwise(F.col("d")).alias("d")).where("u <> v")
     hubs = found.where(F.col("d") == HUB).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    first = cut_lineage(nearest(near).unionByName(hubs).distinct())
+    first = stored(nearest(near).unionByName(hubs).distinct())
     pairs, crowded = near, not crowds.isEmpty()
     if crowded:
         # pairs inside crowds wait for the second pass, but for the first of them
         one, two = (crowds.select(F.col("node").alias(c)) for c in "uv")
         pairs = near.join(one, "u", "left_anti").unionByName(near.join(two, "v", "left_anti")).distinct()
-    label = linked(first, cut_lineage(pairs), docs, marked, width, text_col, least)
+    label = linked(first, stored(pairs), docs, marked, width, text_col, least)
     if crowded:
         # crowds gave only a few of their candidates: now all pairs of theirs between classes
         known = nodes.drop("label").join(crowds, "node", "left_semi").join(label.select("node", F.col("root").alias("label")), "node", "left")
-        known = cut_lineage(known.withColumn("label", F.coalesce("label", "node")))
-        apart = cut_lineage(candidates(known, -1).select(F.col("u").alias("node")).distinct())
+        known = stored(known.withColumn("label", F.coalesce("label", "node")))
+        apart = stored(candidates(known, -1).select(F.col("u").alias("node")).distinct())
         if not apart.isEmpty():
-            known = cut_lineage(known.join(apart, "node", "left_semi").join(sets_of(apart, docs, marked, width, text_col), "node"))
-            short = cut_lineage(candidates(known.where(F.size("hashes") <= LONG * 5 // 4), None, least=least).select("u", "v").distinct())
-            label = cut_lineage(components(short.unionByName(stars(label))))
-            more = cut_lineage(candidates(known.where(F.size("hashes") >= LONG).drop("hashes"), None).groupBy("u", "v").agg(F.min("d").alias("d")))
+            known = stored(known.join(apart, "node", "left_semi").join(sets_of(apart, docs, marked, width, text_col), "node"))
+            short = stored(candidates(known.where(F.size("hashes") <= LONG * 5 // 4), None, least=least).select("u", "v").distinct())
+            label = stored(components(short.unionByName(stars(label))))
+            more = stored(candidates(known.where(F.size("hashes") >= LONG).drop("hashes"), None).groupBy("u", "v").agg(F.min("d").alias("d")))
             if not more.isEmpty():
-                label = linked(cut_lineage(nearest(more)), more, docs, marked, width, text_col, least, label)
+                label = linked(stored(nearest(more)), more, docs, marked, width, text_col, least, label)
     rooted = marked.select("doc_id", "digest", "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(smallest, "root").select("doc_id", "digest", F.col("root").alias("component"), "component_id")

@@ -96,3 +96,20 @@ def test_crowds_ask_pairs_in_proportion_to_their_sets(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "linked", counting)
     assert {r.component_id for r in near_copies.near_copies(docs).collect()} == {0}
     assert counts[0][0] <= 2 * 120 and counts[0][1] < 120
+
+
+def test_small_results_are_read_back_by_few_tasks(spark):
+    """A checkpoint keeps a partition, and behind it files of each shuffle, for every partition that a shuffle had."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    found = near_copies.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"))
+    try:
+        assert {r.root for r in found.collect()} == {0}
+        assert spark.createDataFrame([(i,) for i in range(40)], "i long").distinct().rdd.getNumPartitions() == 64
+        # the pairs twice, once by a shuffle: the part that is read back has a few
+        assert found.rdd.getNumPartitions() < 64 + 32
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
