@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,11 +91,77 @@ h AS (SELECT item_id, doc_id, count(*) AS hits FROM w JOIN d USING (term) GROUP
 SELECT item_id, count(*) FILTER (hits >= 3) AS relevant, count(*) AS touched FROM h GROUP BY item_id""")
 def topic_overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each query: documents that share a term of two letters or more with it, and those that share three or more."""
+    found = docs(spark, sf_dir).select("doc_id", "lang", "text")
+    return overlaps(found, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+#: Pairs of word and query that a task holds at once, about, and words of queries that every task knows.
+PAIRS, KNOWN_TERMS = 1_000_000, 100_000
+
+
+def overlaps(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(item_id, relevant, touched) of ``queries`` (item_id, text) over ``texts`` (doc_id, lang, text).
+
+    A text of its own id is compared with each query where it is, and a task holds two sums for each query: no pair of query and
+    document is grouped. Only the words of ids that repeat meet in a shuffle, so that a word counts once for an id and language;
+    those of all ids do where queries have more words than ``KNOWN_TERMS``.
+    """
     long = lambda t: F.filter(X.tokens(t), lambda x: F.length(x) >= 2)
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(long("text"))).alias("term"))
-    words = docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(long("text"))).alias("term"))
-    hits = words.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
-    return hits.groupBy("item_id").agg(F.count_if(F.col("hits") >= 3).alias("relevant"), F.count("*").alias("touched"))
+    asked = queries.select("item_id", F.explode(long("text")).alias("term")).distinct()
+    known, same = asked.count() <= KNOWN_TERMS, F.col("doc_id").eqNullSafe(F.col("id"))
+    repeated = texts.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
+    some = known and not repeated.isEmpty()
+    parts = []
+    if some or not known:
+        rows = texts.join(repeated, same, "left_semi") if some else texts
+        terms = rows.select("doc_id", "lang", F.explode(F.array_distinct(long("text"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").distinct()
+        hits = terms.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
+        parts.append(hits.groupBy("item_id").agg(F.count_if(F.col("hits") >= 3).alias("relevant"), F.count("*").alias("touched")))
+    if known:
+        alone = texts.join(repeated, same, "left_anti") if some else texts
+        parts.append(_counted(alone.select(long("text").alias("words")), asked))
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return every.groupBy("item_id").agg(F.sum("relevant").alias("relevant"), F.sum("touched").alias("touched"))
+
+
+def _counted(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item_id, relevant, touched) for each task over ``texts`` (words): how many share three words, or any, of ``asked`` (item_id, term)."""
+    rows = asked.toArrow()
+    items = rows.column("item_id").combine_chunks().dictionary_encode()
+    terms = rows.column("term").combine_chunks().dictionary_encode()
+    code, of = (np.asarray(x.indices.fill_null(len(x.dictionary)), dtype=np.int64) for x in (terms, items))
+    names = items.dictionary if not items.null_count else pa.concat_arrays([items.dictionary, pa.nulls(1, items.dictionary.type)])
+    order = np.argsort(code, kind="stable")
+    shared = asked.sparkSession.sparkContext.broadcast((terms.dictionary, of[order], np.bincount(code, minlength=len(terms.dictionary)), names))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, of, width, names = shared.value
+        begins, n = np.cumsum(width) - width, len(names)
+        relevant, touched = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for batch in batches:
+            words = batch.column(0)
+            row = np.repeat(np.arange(len(words)), np.asarray(pc.fill_null(pc.list_value_length(words), 0)))
+            found = np.asarray(pc.fill_null(pc.index_in(pc.list_flatten(words), value_set=vocabulary), -1), dtype=np.int64)
+            key = np.unique((row * len(vocabulary) + found)[found >= 0])
+            row, found = key // max(1, len(vocabulary)), key % max(1, len(vocabulary))
+            # texts are taken together as long as their pairs, and their sums by query, are few
+            pairs, start = np.r_[0, np.cumsum(width[found])], 0
+            while start < len(row):
+                stop = min(np.searchsorted(pairs, pairs[start] + PAIRS, "right") - 1, np.searchsorted(row, row[start] + max(1, 4 * PAIRS // n)))
+                # a text is never parted
+                stop = np.searchsorted(row, row[stop], "left") if stop < len(row) else stop
+                stop = stop if stop > start else np.searchsorted(row, row[start], "right")
+                some = width[found[start:stop]]
+                item = of[np.repeat(begins[found[start:stop]] - (np.cumsum(some) - some), some) + np.arange(some.sum())]
+                place = np.repeat(row[start:stop] - row[start], some)
+                hits = np.bincount(place * n + item, minlength=(row[stop - 1] - row[start] + 1) * n).reshape(-1, n)
+                relevant += (hits >= 3).sum(0)
+                touched += (hits > 0).sum(0)
+                start = stop
+        full = np.flatnonzero(touched)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(full)), pa.array(relevant[full]), pa.array(touched[full])], ["item_id", "relevant", "touched"])
+
+    return texts.mapInArrow(count, f"item_id {asked.schema['item_id'].dataType.simpleString()}, relevant long, touched long")
 
 
 @query("""WITH o AS (SELECT doc_id AS key, substr(sha256(concat_ws('::', coalesce(text, ''), coalesce(lang, ''))), 1, 16) AS h FROM documents WHERE n_chars % 7 <> 0),
