@@ -16,7 +16,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,14 +49,16 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form = re.compile(TOKEN)
         for batch in batches:
-            row, term, part = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            term, tf, sizes, lengths = [], [], [], []
+            for text in batch.column(1).to_pylist():
                 found = form.findall(text or "")
-                base = k1 * (1 - b + b * len(found) / average)
-                for word, tf in Counter(found).items():
-                    row.append(i)
-                    term.append(word)
-                    part.append(tf * (k1 + 1) / (tf + base))
+                counted = Counter(found)
+                term.extend(counted)
+                tf.extend(counted.values())
+                sizes.append(len(counted))
+                lengths.append(len(found))
+            row, tf = np.repeat(np.arange(len(sizes)), sizes), np.array(tf, float)
+            part = tf * (k1 + 1) / (tf + (k1 * (1 - b + b * np.array(lengths, float) / average))[row])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(term, pa.string()), pa.array(part, pa.float64())], ["doc_id", "term", "part"])
 
     postings = texts.select("doc_id", F.lower("text").alias("text")).mapInArrow(count, f"doc_id {kind.simpleString()}, term string, part double").withColumn("bucket", bucket_of("term"))
@@ -62,27 +66,28 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     ordered = postings.repartitionByRange(parts, "bucket", "term", F.desc("part")).sortWithinPartitions("bucket", "term", F.desc("part"), "doc_id")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, made, now = ["term", "best", "docs", "parts", "bucket"], [], [], None
+        names = ["term", "best", "docs", "parts", "bucket"]
+
+        def packed(rows: pa.Table, starts: np.ndarray, stop: int) -> pa.RecordBatch:
+            docs, term, part, bucket = (rows.column(c).combine_chunks() for c in ("doc_id", "term", "part", "bucket"))
+            ends, at = pa.array(np.r_[starts, stop].astype(np.int32)), pa.array(starts)
+            return pa.RecordBatch.from_arrays([term.take(at), part.take(at), pa.ListArray.from_arrays(ends, docs.slice(0, stop)), pa.ListArray.from_arrays(ends, part.slice(0, stop)), bucket.take(at)], names)
+
+        held = None
         for batch in batches:
-            for doc, term, part, bucket in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "term", "part", "bucket"))):
-                if held and (term != now[0] or len(held) == block):
-                    made.append((now[0], held[0][1], [d for d, _ in held], [p for _, p in held], now[1]))
-                    held = []
-                now = (term, bucket)
-                held.append((doc, part))
-            if len(made) > 2000:
-                yield packed(made, names)
-                made = []
-        if held:
-            made.append((now[0], held[0][1], [d for d, _ in held], [p for _, p in held], now[1]))
-        if made:
-            yield packed(made, names)
-
-    def packed(made: list, names: list) -> pa.RecordBatch:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kinds = [pa.string(), pa.float64(), pa.list_(to_arrow_type(kind)), pa.list_(pa.float64()), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names)
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not rows.num_rows:
+                continue
+            term = rows.column("term").combine_chunks()
+            first = np.flatnonzero(np.r_[True, np.asarray(pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)))])
+            count = -(-np.diff(np.r_[first, len(term)]) // block)
+            starts = np.repeat(first, count) + block * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+            # the last block may go on in the next batch
+            if len(starts) > 1:
+                yield packed(rows, starts[:-1], int(starts[-1]))
+            held = rows.slice(int(starts[-1]))
+        if held is not None:
+            yield packed(held, np.zeros(1, int), held.num_rows)
 
     schema = f"term string, best double, docs array<{kind.simpleString()}>, parts array<double>, bucket int"
     ordered.mapInArrow(blocks, schema).write.mode(mode).partitionBy("bucket").parquet(f"{path}/blocks")
@@ -129,6 +134,12 @@ def _search(spark: SparkSession, path: str, queries: DataFrame, k: int, digits:
     reach = ranked.groupBy("query_id").agg(F.coalesce(F.sum(F.when(F.col("light"), F.col("most"))), F.lit(0.0)).alias("rest")).join(higher, "query_id", "left")
     kept = F.col("part") + F.col("rest") >= F.coalesce("higher", F.lit(0.0)) - slack
     candidates = cut(heavy.join(near(reach), "query_id").where(kept).select("query_id", "doc_id", "part"))
-    looked = parts(ranked.where("light").select("query_id", "term", "idf", "bucket")).join(candidates.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-    scores = candidates.unionByName(looked).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), digits).alias("score"))
+    looked = parts(ranked.where("light").select("query_id", "term", "idf", "bucket"))
+    if candidates.count() <= BROADCAST_TERMS:
+        looked = looked.join(F.broadcast(candidates.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
+    # sums that hold no candidate go once they are added up: many candidates meet their light postings in one exchange, without a join
+    # exchanged before they are summed, or tasks would hold sums of all documents of their postings
+    both = candidates.withColumn("candidate", F.lit(True)).unionByName(looked.withColumn("candidate", F.lit(False))).repartition("query_id", "doc_id")
+    summed = both.groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"), F.max("candidate").alias("candidate"))
+    scores = summed.where("candidate").select("query_id", "doc_id", F.round("part", digits).alias("score"))
     return top_k(scores, k), {"heavy": heavy, "candidates": candidates, "looked": looked, "ranked": ranked}
