@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.bpe_forced import encode
-from lexmill.llm.common import shared_folder
+from lexmill.llm.common import shared_folder, small_batches
 from lexmill.llm.language_mixture import UNDETERMINED, identify, train
 from lexmill.llm.near_copies import near_copies
 from lexmill.llm.source_mix import mix, word_count
@@ -28,15 +28,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rejected: null texts, texts without a letter, and mixtures in which no language has a share of ``LEAST_SHARE``. If no
     document has a label, there is no language to know, and none is rejected but those without letters.
     """
+    small_batches(spark)
     model = train(docs.select("text", "lang"))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = identify(docs.select(F.struct(*docs.columns).alias("document"), "text"), model, ("document",))
+    told = identify(docs.select(F.struct(*docs.columns).alias("document")), model, ("document",), inside="document")
     return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("document.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts alike to 0.8 in shingles of five words: the smallest by id, null ids last, then digest of the text."""
+    small_batches(spark)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("of"))
     firsts = near_copies(docs, width=5, least=0.8).groupBy("component").agg(F.min(order).alias("first"))
     # both sides name a row alike, without nulls, so that the join and the removal of repeated rows share one shuffle
@@ -59,6 +61,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     One row for each row of ``docs``, repeated and null ids too; whole texts of any length; no other column is read.
     """
+    small_batches(spark)
     made = encode(docs, "word_bpe_49k.json", keep=("source",), outputs=("n_tokens", "ids", "decoded"))
     return made.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
 
