@@ -7,6 +7,9 @@ first ``GRAM`` characters of each phrase, and whole phrases are verified on the
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -184,9 +187,22 @@ def _expansions_by_row(rows: DataFrame, synonyms: DataFrame, id_col: str) -> Dat
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, all array<struct<way: int, value: string>>")
 
 
+#: White space that is left out before texts and triggers are compared; an ending at the very end, of fewer signs than REACH but for question marks.
+BLANKS, REACH, _ENDING = " \t\n\f\r", 12, re.compile(ENDINGS[:-1] + r"\Z")
+
+
 def for_matching(text: Column) -> Column:
     """Text without white space and one polite ending, as triggers are compared. Composed characters are expected as input."""
-    return F.regexp_replace(F.regexp_replace(text, r"\s+", ""), ENDINGS, "")
+    return F.regexp_replace(F.regexp_replace(text, f"[{BLANKS}]+", ""), ENDINGS[:-1] + r"\z", "")
+
+
+def prepared(text: str) -> str:
+    """As `for_matching` of `composed`, of one text."""
+    text = text if text.isascii() else unicodedata.normalize("NFC", text)
+    for sign in BLANKS:
+        text = text.replace(sign, "")
+    ending = _ENDING.search(text, max(0, len(text.rstrip("?")) - REACH))
+    return text[: ending.start()] if ending else text
 
 
 def composed(text: Column) -> Column:
@@ -199,6 +215,49 @@ def composed(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(nfc(text))
 
 
+def _points_by_row(queries: DataFrame, triggers: DataFrame, patterns: list[tuple[str, str]], id_col: str, text_col: str) -> DataFrame:
+    """(id_col, intent_id, points): each text is prepared and searched once, where it is, and sends what its intents have."""
+    intents: dict[str, list[str]] = {}
+    for r in triggers.where("intent_id IS NOT NULL AND trigger IS NOT NULL").select("intent_id", "trigger").collect():
+        intents.setdefault(prepared(r.trigger), []).append(r.intent_id)
+    intents.pop("", None)
+    told, kind = queries.sparkSession.sparkContext.broadcast(intents), to_arrow_type(queries.schema[id_col].dataType)
+    fits = F.array_compact(F.array(*(F.when(F.col(text_col).rlike(p), F.lit(i)) for i, p in patterns)).cast("array<string>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        intents = told.value
+        automaton = _automaton(list(intents))
+        for batch in batches:
+            row, names, points = [], [], []
+            for i, (text, matched) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                found = Counter()
+                for name in matched:
+                    found[name] += 2
+                text = prepared(text)
+                for phrase in {text[end + 1 - length : end + 1] for end, length in automaton.iter(text)} if len(automaton) else ():
+                    for name in intents[phrase]:
+                        found[name] += 4 if phrase == text else 2
+                row += [i] * len(found)
+                names += found
+                points += found.values()
+            ids = batch.column(0).take(pa.array(row, pa.int64())).cast(kind)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(points, pa.int32())], [id_col, "intent_id", "points"])
+
+    return queries.select(F.col(id_col), F.col(text_col).alias("text"), fits.alias("fits")).where("text <> ''").mapInArrow(run, f"`{id_col}` {queries.schema[id_col].dataType.simpleString()}, intent_id string, points int")
+
+
+def _points_by_join(queries: DataFrame, triggers: DataFrame, patterns: list[tuple[str, str]], id_col: str, text_col: str) -> DataFrame:
+    ready = queries.select(id_col, F.col(text_col).alias("raw"), for_matching(composed(F.col(text_col))).alias("text"))
+    told = triggers.select("intent_id", for_matching(composed(F.col("trigger"))).alias("phrase")).where("phrase <> ''")
+    held = occurrences(ready, told, id_col, select="first", limit=-1)
+    whole = ready.select(id_col, F.length("text").alias("chars"))
+    points = held.join(whole, id_col).join(told, "phrase").select(id_col, "intent_id", F.when(F.col("end") - F.col("start") == F.col("chars"), 4).otherwise(2).alias("points"))
+    if patterns:
+        fits = F.array(*(F.when(F.col("raw").rlike(p), F.lit(i)) for i, p in patterns))
+        points = points.unionByName(ready.select(id_col, F.explode(F.array_compact(fits)).alias("intent_id"), F.lit(2).alias("points")))
+    return points
+
+
 def match_intents(
     queries: DataFrame, triggers: DataFrame, patterns: list[tuple[str, str]] = (), id_col: str = "query_id", text_col: str = "text", most: int = 3, limit: int = LIMIT
 ) -> DataFrame:
@@ -208,14 +267,8 @@ def match_intents(
     `for_matching`. ``patterns`` (intent_id, regular expression): 2 points each. Intents whose id starts with ``legacy_`` lose one
     point. If the best has 2 points or more, those with fewer go. Queries without a match have no row; repeated triggers of an intent count once each.
     """
-    ready = queries.select(id_col, F.col(text_col).alias("raw"), for_matching(composed(F.col(text_col))).alias("text"))
-    told = triggers.select("intent_id", for_matching(composed(F.col("trigger"))).alias("phrase")).where("phrase <> ''")
-    held = occurrences(ready, told, id_col, select="first", limit=limit)
-    whole = ready.select(id_col, F.length("text").alias("chars"))
-    points = held.join(whole, id_col).join(told, "phrase").select(id_col, "intent_id", F.when(F.col("end") - F.col("start") == F.col("chars"), 4).otherwise(2).alias("points"))
-    if patterns:
-        fits = F.array(*(F.when(F.col("raw").rlike(p), F.lit(i)) for i, p in patterns))
-        points = points.unionByName(ready.select(id_col, F.explode(F.array_compact(fits)).alias("intent_id"), F.lit(2).alias("points")))
+    size = triggers.agg(F.coalesce(F.sum(F.octet_length("trigger") + F.octet_length("intent_id") + BESIDES), F.lit(0))).first()[0]
+    points = (_points_by_row if size <= limit else _points_by_join)(queries, triggers, patterns, id_col, text_col)
     penalty = F.when(F.col("intent_id").startswith("legacy_"), 1).otherwise(0)
     scores = points.groupBy(id_col, "intent_id").agg(F.sum("points").alias("score")).withColumn("score", F.col("score") - penalty)
     best = F.max("score").over(Window.partitionBy(id_col))
