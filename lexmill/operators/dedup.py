@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import tokens
+from lexmill.sources.tables import cut
 
 
-#: Slots of the table by whose counts tokens are ordered.
-SLOTS = 1 << 20
+#: Slots of the table by whose counts tokens are ordered, and of a part of it; bits of a signature; ids of texts that are broadcast.
+SLOTS, SLOT_PART, BITS, KNOWN_IDS = 1 << 20, 1 << 16, 1024, 1_000_000
 
 
 def group_copies(docs: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
@@ -30,57 +30,68 @@ def jaccard_pairs(docs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) for pairs of different texts by their token sets, through prefix filtering.
 
     Sets that reach the threshold share a token among their rarest ones, so candidates come from those alone and frequent tokens
-    join nothing. Any one order of all tokens will do: it is by a table of counts with ``SLOTS`` slots, so that only prefixes are
-    exchanged. Pairs that cannot reach the threshold with the tokens behind those they share go before their sets are compared.
-    Texts that are equal are one text, with the smallest id.
+    join nothing. Any one order of all tokens will do: it is by a table of counts with ``SLOTS`` slots, then by hash, so that only
+    prefixes of hashes are exchanged. Pairs that cannot reach the threshold go by the places of the tokens that they share, then by
+    signatures: the parity of the tokens in each of ``BITS`` slots, which differ in no more bits than sets differ in tokens. Texts
+    of what is left alone are read again, and their tokens compared. Texts that are equal are one text, with the smallest id.
     """
-    first = docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    words = docs.join(first.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.array_distinct(tokens("text")).alias("t"))
-
-    def slots(terms: list[str]) -> np.ndarray:
-        return np.fromiter((zlib.crc32(t.encode("utf-8", "replace")) & (SLOTS - 1) for t in terms), np.int64, len(terms))
+    known = docs.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("h"), F.array_distinct(tokens("text")).alias("t")).where(F.size("t") > 0)
+    hashed = known.select("doc_id", "h", F.transform("t", lambda t: F.xxhash64(t)).alias("t"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(SLOTS, np.int32)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy() & (SLOTS - 1), minlength=SLOTS).astype(np.int32)
+        parts = total.reshape(-1, SLOT_PART)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for terms in batch.column(1):
-                np.add.at(total, slots(terms.as_py()), 1)
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
-    told = words.where(F.size("t") > 0).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(SLOTS, np.int64)
-    table[np.asarray(told.column("slot"))] = np.asarray(told.column("n"))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    kind = words.schema["doc_id"].dataType
+    table, columns = np.zeros((SLOTS // SLOT_PART, SLOT_PART), np.int32), "part int, counts binary"
+    for part, counts in hashed.select("t").mapInArrow(count, columns).repartition("part").mapInArrow(add, columns).collect():
+        table[part] = np.frombuffer(bytes(counts), np.int32)
+    shared = docs.sparkSession.sparkContext.broadcast(table.ravel())
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                row, size, rank, term = [], [], [], []
-                for i, terms in enumerate(part.column(1)):
-                    terms = terms.as_py()
-                    order = sorted(zip(shared.value[slots(terms)].tolist(), terms))
-                    kept = order[: len(terms) - math.ceil(threshold * len(terms)) + 1]
-                    row += [i] * len(kept)
-                    size += [len(terms)] * len(kept)
-                    rank += range(1, len(kept) + 1)
-                    term += [t for _, t in kept]
-                ids = part.column(0).take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int32()), pa.array(rank, pa.int32()), pa.array(term, pa.string())], ["doc_id", "size", "r", "term"])
-
-    prefix = words.where(F.size("t") > 0).mapInArrow(rarest, f"doc_id {kind.simpleString()}, size int, r int, term string")
-    left = prefix.select("term", F.col("doc_id").alias("a"), F.col("size").alias("m"), F.col("r").alias("i"))
-    right = prefix.select("term", F.col("doc_id").alias("b"), F.col("size").alias("n"), F.col("r").alias("j"))
-    fits = (F.col("a") < F.col("b")) & (F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n"))
+            sizes, prefixes, signs = [], [], []
+            for terms in batch.column(2):
+                terms = terms.values.to_numpy()
+                order = np.lexsort((terms, shared.value[terms & (SLOTS - 1)]))
+                sizes.append(len(terms))
+                prefixes.append(terms[order[: len(terms) - math.ceil(threshold * len(terms)) + 1]])
+                signs.append(np.packbits((np.bincount(terms >> 40 & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).view(np.int64))
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x or [np.zeros(0, np.int64)]))) for x in (prefixes, signs)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(sizes, pa.int32()), *lists], ["h", "doc_id", "size", "prefix", "sign"])
+
+    rows = hashed.mapInArrow(rarest, f"h binary, doc_id {kind}, size int, prefix array<long>, sign array<long>")
+    first = F.min_by(F.struct("doc_id", "size", "prefix", "sign"), "doc_id")
+    texts = cut(rows.where("doc_id IS NOT NULL").groupBy("h").agg(first.alias("x")).select("x.*"))
+    prefix = texts.select("doc_id", "size", F.posexplode("prefix").alias("r", "term"))
+    left = prefix.select("term", F.col("doc_id").alias("a"), F.col("size").alias("m"), (F.col("r") + 1).alias("i"))
+    right = prefix.select("term", F.col("doc_id").alias("b"), F.col("size").alias("n"), (F.col("r") + 1).alias("j"))
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("n")) - 1e-6
+    # what both sets share stands up to this token in both, or behind it in both
+    fits = (F.col("a") < F.col("b")) & (F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n")) & (F.least("i", "j") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= needed)
     met = left.join(right, "term").where(fits).groupBy("a", "b", "m", "n").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
     # what both sets share besides stands behind the last prefix token that they share
-    most = F.col("k") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
-    pairs = met.where(most >= F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("n")) - 1e-6).select("a", "b")
+    met = met.where(F.col("k") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= needed).select("a", "b", (F.col("m") + F.col("n") - 2 * needed).alias("most"))
+    signed = met.join(texts.select(F.col("doc_id").alias("a"), F.col("sign").alias("sa")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("sign").alias("sb")), "b")
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = cut(signed.where(apart <= F.col("most")).select("a", "b"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if ids.count() <= KNOWN_IDS:
+        ids = F.broadcast(ids)
+    words = docs.join(ids, "doc_id", "left_semi").select("doc_id", F.array_distinct(tokens("text")).alias("t"))
     both = pairs.join(words.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(words.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    likeness = shared.cast("double") / (F.size("ta") + F.size("tb") - shared)
+    common = F.size(F.array_intersect("ta", "tb"))
+    likeness = common.cast("double") / (F.size("ta") + F.size("tb") - common)
     return both.select("a", "b", likeness.alias("j")).where(F.col("j") >= threshold).select("a", "b", F.round("j", 6).alias("jaccard"))
 
 
