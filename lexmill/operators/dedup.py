@@ -79,6 +79,9 @@ def jaccard_pairs(docs: DataFrame, threshold: float) -> DataFrame:
     needed = F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("n")) - 1e-6
     # what both sets share stands up to this token in both, or behind it in both
     fits = (F.col("a") < F.col("b")) & (F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n")) & (F.least("i", "j") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= needed)
+    # both share at least 2t / (1 + t) of the smaller set, so the first token that they share stands earlier in it than in a prefix
+    early = lambda size, rank: rank <= size - F.ceil(F.lit(2 * threshold / (1 + threshold)) * size - 1e-6) + 1
+    fits &= F.when(F.col("m") <= F.col("n"), early(F.col("m"), F.col("i"))).otherwise(early(F.col("n"), F.col("j")))
     met = left.join(right, "term").where(fits).groupBy("a", "b", "m", "n").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
     # what both sets share besides stands behind the last prefix token that they share
     met = met.where(F.col("k") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= needed).select("a", "b", (F.col("m") + F.col("n") - 2 * needed).alias("most"))
